@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import classifier, editcount
 from .common import table
 from .licences import scan
 from .mixing import mix
@@ -13,12 +14,23 @@ from .rules import judge
 from .sharding import hilbert_shards
 
 
+#: The columns of documents that the metadata view reads.
+META = ["source", "lang", "n_chars"]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", editcount.review_edits().alias("edits"))
+    return editcount.count_edited(docs, "edits", tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert_shards(table(spark, sf_dir, "documents"), ["source", "lang"], shards=40, keep=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("curve").cast("long").alias("curve"))
@@ -37,6 +49,12 @@ def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op8_cotrained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"), META)
+    return classifier.score(docs, model, keep=["doc_id"])
+
+
 def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
