@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, editcount
+from . import classifier, editcount, mainhtml
 from .common import table
 from .licences import scan
 from .mixing import mix
@@ -45,6 +45,11 @@ def op4_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_max_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return mainhtml.extract_all(pages, mainhtml.fit(pages), keep=["page_id", "url"])
+
+
 def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
