@@ -50,7 +50,7 @@ _SPACE = re.compile(r"\s+")
 #: Scores without labelled pages, and for names that none of them holds.
 WORD, TAG, OTHER_WORD, OTHER_TAG = 1.0, -0.3, 0.02, -1.0
 #: The most that a tag takes off, so that an advert between paragraphs doesn't part them; more for the edge of labelled content.
-MOST_TAG, EDGE_TAG = 2.0, 12.0
+MOST_TAG, EDGE_TAG = 1.0, 12.0
 
 
 def other_purpose(name: str, attributes: str, stack: list) -> bool:

@@ -9,6 +9,7 @@ from . import classifier, editcount, mainhtml
 from .common import table
 from .licences import scan
 from .mixing import mix
+from .ngramjoin import link_components
 from .packing import pack
 from .rules import judge
 from .sharding import hilbert_shards
@@ -45,6 +46,10 @@ def op4_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op6_max_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return mainhtml.extract_all(pages, mainhtml.fit(pages), keep=["page_id", "url"])
