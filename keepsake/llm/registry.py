@@ -13,6 +13,7 @@ from .ngramjoin import link_components
 from .packing import pack
 from .rules import judge
 from .sharding import hilbert_shards
+from .vectordups import near_duplicates
 
 
 #: The columns of documents that the metadata view reads.
@@ -65,6 +66,10 @@ def op8_cotrained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model, keep=["doc_id"])
 
 
+def op9_pruned_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
