@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_prefix
 from .rules import labelled
 from .textstats import COUNTS, counts
 
@@ -190,14 +191,21 @@ def score(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str]
     names = [prefix + c for c in ("p_text", "p_meta", "p_good", "accepted")]
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in names[:3]], T.StructField(names[3], T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
-    meta = [f"__m{i}" for i in range(len(model.meta))]
+    own = free_prefix(docs)
+    body, meta = own + "text", [f"{own}m{i}" for i in range(len(model.meta))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        model = shared.value
         for batch in batches:
             rows = zip(*[batch.column(c).to_pylist() for c in meta]) if meta else [()] * batch.num_rows
-            z = np.array([own.log_odds(t, list(v)) for t, v in zip(batch.column("__text").to_pylist(), rows)], float).reshape(-1, 3)
+            z = np.array([model.log_odds(t, list(v)) for t, v in zip(batch.column(body).to_pylist(), rows)], float).reshape(-1, 3)
             p = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(p[:, i]) for i in range(3)], pa.array(p[:, 2] >= 0.5)], [*keep, *names])
 
-    return docs.select(*keep, docs[text].alias("__text"), *[docs[c].alias(a) for a, c in zip(meta, model.meta)]).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text].alias(body), *[docs[c].alias(a) for a, c in zip(meta, model.meta)]).mapInArrow(run, schema)
+
+
+def keep_accepted(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with the columns they came with."""
+    prefix = free_prefix(docs)
+    return score(docs, model, text, None, prefix).where(f"`{prefix}accepted`").select(*docs.columns)

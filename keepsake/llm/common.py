@@ -49,12 +49,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't hold yet (names clash without regard to case)."""
-    held = {c.lower() for c in df.columns}
-    while name.lower() in held:
-        name = "_" + name
-    return name
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with (names clash without regard to case)."""
+    prefix = "__k"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix + "_"
 
 
 def dense_ranks(df: DataFrame, order: list[str], ties: list[str], out: str, parts: int = 8192) -> DataFrame:

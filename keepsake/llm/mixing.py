@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch
+from .common import BROADCAST_ROWS, Scratch, free_prefix
 
 #: Cells up to this number are raked in one partition, without exchanges.
 ONE_PARTITION_CELLS = 100_000
@@ -83,34 +83,42 @@ def uniform(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
 
 
-def mix(docs: DataFrame, dims: list[str] | None = None, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", seed: int = 11, keep: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` (its ``keep`` columns, all by default) with ``_topic``, ``_tokens``, ``_probability``, ``_sampled``.
+def mix(docs: DataFrame, dims: list[str] | None = None, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", seed: int = 11, keep: list[str] | None = None, prefix: str = "_") -> DataFrame:
+    """Every row of ``docs`` (its ``keep`` columns, all by default) with topic, tokens, probability, sampled.
 
-    ``dims``: columns to rake besides ``_topic`` (source and lang by default).
-    ``targets``: for a dimension, a table (value, ``_share``); the others are
-    tempered. Null values are values like any other; repeated rows share their
-    key's number and so stay or go together; an empty table gives no rows.
+    The four new names begin with ``prefix``, which no kept column may do.
+    ``dims``: columns to rake besides the topic (source and lang by default).
+    ``targets``: for a dimension ("topic" for the topic), a table (value,
+    ``_share``); the others are tempered. Null values are values like any other;
+    repeated rows share their key's number and so stay or go together; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    names = [*(dims or ["source", "lang"]), "_topic"]
+    names = [*(dims or ["source", "lang"]), "topic"]
+    axes = [*[f"{prefix}by{i}" for i in range(len(names) - 1)], f"{prefix}topic"]
+    size, number, chance = f"{prefix}tokens", f"{prefix}key", f"{prefix}probability"
     rows = docs.select(
-        *keep, *[F.col(d).alias(f"_by{i}") for i, d in enumerate(names[:-1])], topic(F.col(text)).alias("_topic"), tokens(F.col(text)).alias("_tokens"),
-        F.col(key).alias("_key"),
-    )
-    axes = [*[f"_by{i}" for i in range(len(names) - 1)], "_topic"]
+        *keep, *[F.col(d).alias(a) for a, d in zip(axes, names[:-1])], topic(F.col(text)).alias(axes[-1]), tokens(F.col(text)).alias(size), F.col(key).alias(number)
+    )
     scratch = Scratch(spark)
-    cells = scratch.save(rows.groupBy(*axes).agg(F.sum("_tokens").alias("_tokens")), "cells")
+    cells = scratch.save(rows.groupBy(*axes).agg(F.sum(size).alias("_tokens")), "cells")
     wanted = {}
     for a, d in zip(axes, names):
         given = (targets or {}).get(d)
-        wanted[a] = given.select(F.col(given.columns[0]).alias(a), "_share") if given is not None else tempered(cells, a, TOPIC_TEMPER if d == "_topic" else TEMPER)
+        wanted[a] = given.select(F.col(given.columns[0]).alias(a), "_share") if given is not None else tempered(cells, a, TOPIC_TEMPER if d == "topic" else TEMPER)
     raked = rake(cells, axes, wanted)
     rate = raked.select(*axes, (F.col("_weight") / F.col("_tokens")).alias("_rate"))
     most = rate.agg(F.max("_rate")).first()[0] or 1.0
-    rate = rate.select(*[F.col(a).alias(f"_c{a}") for a in axes], (F.col("_rate") / F.lit(most)).alias("_probability"))
+    rate = rate.select(*[F.col(a).alias(f"c{a}") for a in axes], (F.col("_rate") / F.lit(most)).alias(chance))
     if rate.count() <= BROADCAST_ROWS // 10:
         rate = F.broadcast(rate)
-    on = reduce(lambda a, b: a & b, [rows[a].eqNullSafe(rate[f"_c{a}"]) for a in axes])
-    out = rows.join(rate, on, "left").drop(*[f"_c{a}" for a in axes])
-    return out.withColumn("_sampled", uniform("_key", seed) < F.col("_probability")).drop("_key", *axes[:-1])
+    on = reduce(lambda a, b: a & b, [rows[a].eqNullSafe(rate[f"c{a}"]) for a in axes])
+    out = rows.join(rate, on, "left").drop(*[f"c{a}" for a in axes])
+    return out.withColumn(f"{prefix}sampled", uniform(number, seed) < F.col(chance)).drop(number, *axes[:-1])
+
+
+def sample(docs: DataFrame, dims: list[str] | None = None, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", seed: int = 11) -> DataFrame:
+    """The sampled rows of ``docs``, with the columns they came with."""
+    prefix = free_prefix(docs)
+    return mix(docs, dims, targets, text, key, seed, None, prefix).where(F.col(f"{prefix}sampled")).select(*docs.columns)

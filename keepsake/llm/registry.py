@@ -75,9 +75,17 @@ def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
+    import corpus_pipeline  # noqa: F401  the pipeline's module belongs to this subpackage
+
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_prefix
 from .textstats import COUNTS, with_counts
 
 #: Labelled rows fitted on at most (the ones with the smallest hash of their id).
@@ -153,7 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned list keep, with the columns they came with."""
-    prefix = "__n_"
+    prefix = free_prefix(docs)
     some = labelled(labels, key, label, LABELLED_ROWS)
     sample = docs.join(F.broadcast(some), docs[key] == some["_key"], "left_semi")
     rules = fit(with_counts(sample, text, [key], prefix), labels, key, label, prefix)

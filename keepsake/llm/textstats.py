@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import free_prefix
+
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -58,7 +60,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     keep = docs.columns if keep is None else keep
     names = [prefix + c for c in COUNTS]
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in names]])
-    mark = "__text"
+    mark = free_prefix(docs) + "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
