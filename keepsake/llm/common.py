@@ -41,6 +41,26 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str, cache: dict, most: int) -> dict:
+    """``cache``, emptied if it holds over ``most`` entries; the caches of other operators are emptied.
+
+    Python workers are reused from task to task, so without this a pipeline's
+    worker would hold the words of all its stages.
+    """
+    for other, held in _caches.items():
+        if other != name:
+            held.clear()
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = cache
+    if len(cache) > most:
+        cache.clear()
+    return cache
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,11 +6,11 @@
    their first |x| - t|x| + l hashes (l: a share of |x|). These prefixes are dealt by
    hash range, in packed arrays whose repeated hashes are combined before the
    shuffle; only classes with enough hashes in common with any other go on.
-3. Blocks. The survivors' sets get one global order: rare hashes first, then the
-   frequent ones that step 2 has counted. Classes that share a hash of their plain
-   prefix in this order are candidates, and the components of candidates are blocks.
-   Linked classes always share a block; passages that many documents have in common
-   come last in the order and join no blocks.
+3. Blocks. The survivors' hashes are counted (asked for by packs of sets, answered
+   by hash range) and each set is put in one global order, rarest first. Classes that
+   share a hash of their plain prefix in this order are candidates, and the components
+   of candidates are blocks. Linked classes always share a block; passages that many
+   documents have in common come last in the order and join no blocks.
 4. Tries. The sets of a block, or of a part of it, are stored in a path-compressed
    trie, common hashes first. Each set walks it once, keeping the overlap of the
    path, which all sets below share, and leaves subtrees whose remaining lengths
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, shuffle_partitions
+from .common import BROADCAST_ROWS, Scratch, shuffle_partitions, worker_cache
 from .components import components
 
 WORDS = 5
@@ -40,13 +40,12 @@ PERCENT = 75
 #: Share of a set, in percent, that the longer prefixes of step 2 must have in common.
 COMMON_PERCENT = 15
 #: Hashes that a task gathers before it combines and sends them.
-FLUSH = 3_000_000
-CACHE_WORDS = 700_000
+FLUSH = 2_000_000
+CACHE_WORDS = 400_000
 #: Sets in a part of a block, and pivots in each part.
 PART, PIVOTS = 256, 8
-#: Hashes counted as frequent: of at least so many classes, and so many hashes at most
-#: (the first number doubles until the second holds; it changes the order, not the result).
-FREQUENT, FREQUENT_MOST = 32, 500_000
+#: Hashes of a pack of sets.
+PACK = 1_500_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -65,8 +64,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = text.encode("utf-8").lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not found:
         return np.empty(0, np.uint64)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
+    worker_cache("ngram words", _words, CACHE_WORDS)
     ids = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
     wide = min(words, len(ids))
     n = len(ids) - wide + 1
@@ -92,7 +90,7 @@ def _share(n: int) -> int:
 
 
 def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key: str) -> DataFrame:
-    """Steps 1 and 2: rows by ``kind``: 0 documents (key, n, class), 3 common hashes of a class (class, n), 4 frequent hashes (hash, n)."""
+    """Steps 1 and 2: rows by ``kind``: 0 documents (key, n, class), 3 hashes that a class has in common with others (class, n)."""
     key_type = dict(docs.dtypes)[key]
     bits = buckets.bit_length() - 1
 
@@ -165,7 +163,6 @@ def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key
         whole = table.filter(pa.array(kind == 0)).select(["kind", "key", "n", "cls"])
         part = {k: table.filter(pa.array(kind == k)) for k in (1, 2, 3)}
         blob = lambda k, c, d: np.frombuffer(b"".join(part[k].column(c).to_pylist()), d)
-        bucket = int(table.column("bucket")[0].as_py())
         pair = np.unique(np.rec.fromarrays([blob(1, "a", "<u4"), blob(1, "b", "<i8")], names="t,c"))
         more, times = blob(2, "a", "<u4"), blob(2, "b", "<u4")
         token, at = np.unique(np.concatenate([pair["t"], more]), return_inverse=True)
@@ -174,22 +171,82 @@ def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key
         worth = np.concatenate([np.ones(int((count[at[: len(pair)]] > 1).sum()), np.int64), blob(3, "b", "<u4").astype(np.int64)])
         classes, back = np.unique(own, return_inverse=True)
         credit = np.bincount(back, worth, minlength=len(classes)).astype(np.int64)
-        often = count >= FREQUENT
-        hot = (np.int64(bucket) << np.int64(32)) | token[often].astype(np.int64)
-        n = len(classes) + len(hot)
-        rest = pa.table({"kind": pa.array([3] * len(classes) + [4] * len(hot), pa.int32()), "key": pa.nulls(n, table.schema.field("key").type), "n": pa.array(np.concatenate([credit, count[often]]), pa.int64()), "cls": pa.array(np.concatenate([classes, hot]), pa.int64())})
+        n = len(classes)
+        rest = pa.table({"kind": pa.array([3] * n, pa.int32()), "key": pa.nulls(n, table.schema.field("key").type), "n": pa.array(credit), "cls": pa.array(classes, pa.int64())})
         return pa.concat_tables([whole, rest])
 
     dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(gather, f"kind int, bucket int, key {key_type}, n long, cls long, a binary, b binary")
     return dealt.groupBy("bucket").applyInArrow(meet, f"kind int, key {key_type}, n long, cls long")
 
 
-def ordered_prefix(hashes: np.ndarray, frequent: np.ndarray, drop: int, percent: int) -> np.ndarray:
-    """The plain prefix in the global order: rare hashes first, each kind by hash. ``frequent``: sorted, without their ``drop`` low bits."""
-    short = hashes >> np.uint64(drop)
-    at = np.searchsorted(frequent, short)
-    hot = frequent[np.minimum(at, len(frequent) - 1)] == short if len(frequent) else np.zeros(len(hashes), bool)
-    return np.concatenate([hashes[~hot], hashes[hot]])[: len(hashes) - _least(len(hashes), percent) + 1]
+def _pack(table: pa.Table) -> dict[int, np.ndarray]:
+    """class -> hashes of a pack; a class that came twice is taken once."""
+    return {c: np.frombuffer(h, "<u8") for c, h in zip(table.column("cls").to_pylist(), table.column("hashes").to_pylist())}
+
+
+def _pack_hashes(sets: dict[int, np.ndarray], drop: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(list(sets.values())) >> np.uint64(drop), return_counts=True)
+
+
+def ordered_prefix(hashes: np.ndarray, codes: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes of the plain prefix, rarest first (ties by hash), that other classes have too (``codes`` over 0)."""
+    order = np.argsort(codes, kind="stable")[: len(hashes) - _least(len(hashes), percent) + 1]
+    return hashes[order[codes[order] > 0]]
+
+
+def candidates(held: DataFrame, scratch: Scratch, buckets: int, percent: int) -> DataFrame:
+    """Step 3: edges (a, b) between classes whose ordered prefixes share a hash.
+
+    Within a pack the first class with a hash stands for the others; across packs
+    the representatives of a hash are joined to the smallest.
+    """
+    bits = buckets.bit_length() - 1
+    drop = 32 - bits
+    total = held.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    packs = max(1, -(-total // (8 * PACK)))
+    dealt = held.withColumn("pack", F.pmod(F.xxhash64("cls"), F.lit(packs)).cast("int"))
+    edges_at = np.arange(buckets + 1, dtype=np.uint64)
+
+    def ask(table: pa.Table) -> pa.Table:
+        token, count = _pack_hashes(_pack(table), drop)
+        cuts = np.searchsorted(token >> np.uint64(32), edges_at).tolist()
+        low, times = token.astype("<u4").tobytes(), count.astype("<u4").tobytes()
+        rows = [(b, low[4 * i : 4 * j], times[4 * i : 4 * j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        bucket, a, c = zip(*rows)
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "pack": pa.array([table.column("pack")[0].as_py()] * len(rows), pa.int32()), "a": pa.array(a, pa.binary()), "c": pa.array(c, pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<u4") for x in table.column("a").to_pylist()]
+        times = np.frombuffer(b"".join(table.column("c").to_pylist()), "<u4")
+        token, at = np.unique(np.concatenate(parts), return_inverse=True)
+        count = np.bincount(at, times, minlength=len(token))
+        code = np.minimum(255, np.floor(16 * np.log2(count))).astype(np.uint8)[at]  # 0: no other class has it
+        cuts = np.cumsum([0, *map(len, parts)]).tolist()
+        return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "codes": pa.array([code[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
+
+    asked = dealt.groupBy("pack").applyInArrow(ask, "bucket int, pack int, a binary, c binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "pack int, bucket int, codes binary")
+
+    def meet(sets: pa.Table, codes: pa.Table) -> pa.Table:
+        own = _pack(sets)
+        leader: dict[int, int] = {}
+        found: set[tuple[int, int]] = set()
+        if own:
+            token, _ = _pack_hashes(own, drop)
+            code = np.frombuffer(b"".join(codes.sort_by("bucket").column("codes").to_pylist()), np.uint8)
+            for c, h in own.items():
+                for t in ordered_prefix(h, code[np.searchsorted(token, h >> np.uint64(drop))], percent).astype(np.int64).tolist():
+                    if (a := leader.setdefault(t, c)) != c:
+                        found.add((a, c))
+        n = len(found)
+        lead = list(leader.values())
+        return pa.table({"token": pa.array([*leader, *[None] * n], pa.int64()), "a": pa.array([*lead, *[e[0] for e in found]], pa.int64()), "b": pa.array([*lead, *[e[1] for e in found]], pa.int64())})
+
+    met = dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(meet, "token long, a long, b long")
+    met = scratch.save(met, "met")
+    across = met.where("token is not null").groupBy("token").agg(F.collect_set("a").alias("all")).where(F.size("all") > 1)  # one per pack
+    across = across.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    return met.where("token is null").select("a", "b").unionByName(across).where("a <> b")
 
 
 class Trie:
@@ -299,11 +356,12 @@ def _tries(parts: DataFrame, percent: int) -> DataFrame:
         for i, j in zip(cuts, cuts[1:]):
             if j - i < 2:
                 continue
-            sets = [np.frombuffer(blobs[k].as_py(), "<u8") for k in range(i, j)]
-            group = [root[k] if root[k] is not None else int(cls[k]) for k in range(i, j)]
-            for x, y in trie_links(sets, [k for k in range(j - i) if probe[i + k]], percent, group):
-                a.append(int(cls[i + x]))
-                b.append(int(cls[i + y]))
+            own = [k for k in range(i, j) if k == i or cls[k] != cls[k - 1]]  # a class that came twice is taken once
+            sets = [np.frombuffer(blobs[k].as_py(), "<u8") for k in own]
+            group = [root[k] if root[k] is not None else int(cls[k]) for k in own]
+            for x, y in trie_links(sets, [x for x, k in enumerate(own) if probe[k]], percent, group):
+                a.append(int(cls[own[x]]))
+                b.append(int(cls[own[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return parts.groupBy("bin").applyInArrow(run, "a long, b long")
@@ -321,7 +379,6 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     spark = docs.sparkSession
     scratch = Scratch(spark)
     buckets = 1 << max(8, (4 * shuffle_partitions(spark) - 1).bit_length())
-    drop = 32 - (buckets.bit_length() - 1)
     dealt = scratch.save(deal(docs, buckets, percent, words, text, key), "dealt", ["kind"])
     rows = dealt.where("kind = 0").select("key", "n", "cls")
     classes = scratch.save(rows.where("key is not null and cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -344,39 +401,8 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     bodies = slim.join(_maybe_broadcast(alive), slim["_key"] == alive["_low"]).select("cls", "_text")
-    held = scratch.save(bodies.mapInArrow(sets, "cls long, hashes binary").dropDuplicates(["cls"]), "sets")
-
-    frequent, times = dealt.where("kind = 4"), FREQUENT
-    while frequent.where(F.col("n") >= times).count() > FREQUENT_MOST:
-        times *= 2
-    listed = np.array(sorted(r[0] for r in frequent.where(F.col("n") >= times).select("cls").collect()), np.uint64)  # FREQUENT_MOST at most
-    shared = spark.sparkContext.broadcast(listed)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """token null: an edge between classes of this task; else the class that stands for the token here."""
-        leader: dict[int, int] = {}
-        edges: set[tuple[int, int]] = set()
-
-        def out(token, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["token", "a", "b"])
-
-        for batch in batches:
-            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in ordered_prefix(np.frombuffer(blob, "<u8"), shared.value, drop, percent).astype(np.int64).tolist():
-                    if (a := leader.setdefault(t, c)) != c:
-                        edges.add((a, c))
-            if len(leader) > FLUSH:
-                yield out(list(leader), list(leader.values()), list(leader.values()))
-                yield out([None] * len(edges), [e[0] for e in edges], [e[1] for e in edges])
-                leader, edges = {}, set()
-        yield out(list(leader), list(leader.values()), list(leader.values()))
-        yield out([None] * len(edges), [e[0] for e in edges], [e[1] for e in edges])
-
-    found = scratch.save(held.mapInArrow(candidates, "token long, a long, b long"), "candidates")
-    # a token's leaders: one per task that has it
-    across = found.where("token is not null").groupBy("token").agg(F.collect_set("a").alias("all")).where(F.size("all") > 1)
-    across = across.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
-    edges = found.where("token is null").select("a", "b").unionByName(across).where("a <> b")
+    held = scratch.save(bodies.mapInArrow(sets, "cls long, hashes binary"), "sets")
+    edges = candidates(held, scratch, buckets, percent)
     blocks = components(edges, scratch, "blocks").withColumnsRenamed({"node": "cls", "root": "block"})
 
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))

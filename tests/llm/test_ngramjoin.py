@@ -71,7 +71,7 @@ def test_random_near_copies(spark):
 def test_large_group_is_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(J, "PART", 16)
     monkeypatch.setattr(J, "PIVOTS", 2)
-    monkeypatch.setattr(J, "FREQUENT", 4)
+    monkeypatch.setattr(J, "PACK", 1000)
     r = random.Random(5)
     base = [f"w{i}" for i in range(90)]
     rows = []
