@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import scores, text, vectors as vec
-from keepsake.operators import auditing, governance, retrieval
+from keepsake.operators import admission, auditing, composing, governance, retrieval
 from keepsake.plans import fixtures as fx
 from keepsake.plans.fixtures import AUDIT_SQL, BUDGET_SQL, ITEMS_SQL, NOW, VECTORS_SQL
+from keepsake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -491,6 +492,56 @@ def markdown_headings(spark, sf_dir):
     return rows.select("id", (F.col("id") == F.col("first_id")).alias("heading"), F.md5(text.markdown_escaped(F.col("body"))).alias("body_digest"))
 
 
+# --- sequential and streaming ----------------------------------------------------------------
+
+
+@query()
+def working_set_mmr(spark, sf_dir):
+    """One request per scope over its best candidates (the engine's limit of 160)."""
+    items = fx.items(spark, sf_dir).withColumn("estimated_tokens", text.estimated_tokens(F.col("body")))
+    arm = retrieval.keyword_arm(items, QUERY, SCOPE).withColumn("relevance", F.round("keyword", 9))
+    best = arm.withColumn("rank", F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.desc("relevance"), "id"))).where(F.col("rank") <= retrieval.engine_limit(20))
+    due = scores.replay_due((F.col("doc_id") % 101) / 100, F.lit(None).cast("long"), F.col("created_at_s"), NOW)
+    rows = best.join(items.select("id", "body", "estimated_tokens", due.alias("due")), "id").select(*SCOPE, "id", "body", "relevance", "estimated_tokens", "due")
+    return composing.compose(rows, SCOPE)
+
+
+def admitted(spark, sf_dir, cfg: scores.Config) -> DataFrame:
+    w = fx.writes(spark, sf_dir)
+    size = F.octet_length("body") + F.octet_length("subject") + F.octet_length("namespace") + 64 + 2 + 4
+    rows = w.select(*SCOPE, F.col("turn").cast("long").alias("seq"), "body", (F.lit(NOW) + F.col("turn")).alias("at_s"), size.alias("size"), F.lit(None).cast("string").alias("hint"), F.lit(fx.MAX_ITEMS).alias("max_items"), F.lit(None).cast("long").alias("max_bytes"))
+    return admission.fold(rows, SCOPE, cfg)
+
+
+@query()
+def remember_fold(spark, sf_dir):
+    return admitted(spark, sf_dir, scores.BASELINE)
+
+
+@query()
+def shadow_diff(spark, sf_dir):
+    """How the decisions change under a policy that merges and rejects sooner."""
+    sooner = scores.Config(duplicate_threshold=0.80, merge_threshold=0.60).validate()
+    return admission.diff(admitted(spark, sf_dir, scores.BASELINE), admitted(spark, sf_dir, sooner), SCOPE)
+
+
+@query("SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_day_aggregates(spark, sf_dir):
+    return streams.drain(streams.day_counts(streams.events(spark, f"{sf_dir}/events.parquet")), "complete", "days")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe_keys(spark, sf_dir):
+    return streams.drain(streams.first_keys(streams.events(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"]), "append", "keys")
+
+
+@query("""WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n FROM numbered GROUP BY user_id, session""")
+def stream_session_activity(spark, sf_dir):
+    return streams.drain(streams.sessions(streams.events(spark, f"{sf_dir}/events.parquet")), "complete", "sessions")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
