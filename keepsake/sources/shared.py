@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir; one is set only where none is."""
+    """A new place below spark.checkpoint.dir (one is set only where none is); it goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="keepsake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/keepsake-{name}-{uuid.uuid4().hex}"
+    made = f"{root.rstrip('/')}/keepsake-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{made}/table"
