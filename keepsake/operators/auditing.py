@@ -55,3 +55,8 @@ def latest_reason(audit: DataFrame) -> DataFrame:
 
 def access_stats(audit: DataFrame) -> DataFrame:
     return audit.where(F.col("event") == "recalled").groupBy("item_id").agg(F.count(F.lit(1)).alias("access_count"), F.max("at_s").alias("last_access_s"))
+
+
+def retained(audit: DataFrame, now_s: int, days: int | None) -> DataFrame:
+    """Detail rows inside a profile's span; the aggregates outlive them."""
+    return audit if days is None else audit.where(F.col("at_s") >= now_s - days * 86_400)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import scores, text, vectors as vec
-from keepsake.operators import admission, auditing, composing, governance, retrieval
+from keepsake.operators import admission, auditing, composing, governance, maintenance, retrieval
 from keepsake.plans import fixtures as fx
 from keepsake.plans.fixtures import AUDIT_SQL, BUDGET_SQL, ITEMS_SQL, NOW, VECTORS_SQL
 from keepsake.streaming import streams
@@ -412,8 +412,7 @@ def access_stats(spark, sf_dir):
 @query(f"WITH {AUDIT_SQL} SELECT day, event, count(*) AS kept FROM audit WHERE at_s >= {NOW} - 20 * 86400 GROUP BY day, event")
 def retention_filter(spark, sf_dir):
     """Detail rows inside a profile's span (20 days); daily aggregates outlive them."""
-    rows = fx.audit(spark, sf_dir).where(F.col("at_s") >= NOW - 20 * fx.DAY)
-    return rows.groupBy("day", "event").agg(F.count(F.lit(1)).alias("kept"))
+    return auditing.retained(fx.audit(spark, sf_dir), NOW, 20).groupBy("day", "event").agg(F.count(F.lit(1)).alias("kept"))
 
 
 # --- mutations, portability ------------------------------------------------------------------
@@ -525,6 +524,13 @@ def shadow_diff(spark, sf_dir):
     return admission.diff(admitted(spark, sf_dir, scores.BASELINE), admitted(spark, sf_dir, sooner), SCOPE)
 
 
+@query()
+def maintenance_run(spark, sf_dir):
+    """All five phases over every scope, in pages of 200."""
+    items = fx.items(spark, sf_dir)
+    return maintenance.run(items, capacity(items), SCOPE, NOW)
+
+
 @query("SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_day_aggregates(spark, sf_dir):
     return streams.drain(streams.day_counts(streams.events(spark, f"{sf_dir}/events.parquet")), "complete", "days")

@@ -85,3 +85,37 @@ def markdown(items: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("subject", "namespace").orderBy("id")) == 1
     head = F.when(first, F.concat(F.lit("# "), F.concat_ws(" / ", "tenant", "subject", "namespace"), F.lit("\n\n"))).otherwise("")
     return items.select("subject", "namespace", "id", F.concat(head, F.lit("## "), F.col("id"), F.lit("\n\n"), text.markdown_escaped(F.col("body")), F.lit("\n")).alias("value"))
+
+
+def _digest(lines: DataFrame) -> dict[str, int]:
+    """Lines, bytes, and two order-free sums of line hashes: computed where the lines are, for archives of any size."""
+    row = lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("xor"), F.coalesce(F.bit_xor(F.xxhash64("value", F.lit(1))), F.lit(0)).alias("xor1")).first()
+    return row.asDict()
+
+
+def write_archive(store: MemoryStore, tenant: str, path: str, at_s: int, force: bool = False, with_audit: bool = False) -> dict[str, int]:
+    """``memories.ndjson``, ``memories.md`` and a manifest; refuses to overwrite unless forced."""
+    spark = store.spark
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        if not force:
+            raise StoreError("the archive exists")
+        fs.delete(where, True)
+    lines = export_lines(store, tenant, at_s, with_audit=with_audit)
+    write_ndjson(lines, f"{path}/memories.ndjson")
+    markdown(store.read("items", tenant)).repartitionByRange("subject", "namespace", "id").sortWithinPartitions("subject", "namespace", "id").select("value").write.text(f"{path}/memories.md")
+    found = _digest(spark.read.text(f"{path}/memories.ndjson"))
+    spark.createDataFrame([found]).coalesce(1).write.json(f"{path}/manifest.json")
+    return found
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Records of an archive folder whose manifest holds, or of a bare NDJSON file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return read_ndjson(spark, path)
+    held = spark.read.schema("lines long, bytes long, xor long, xor1 long").json(f"{path}/manifest.json").first().asDict()
+    if held != _digest(spark.read.text(f"{path}/memories.ndjson")):
+        raise StoreError("the archive does not match its manifest")
+    return read_ndjson(spark, f"{path}/memories.ndjson")
