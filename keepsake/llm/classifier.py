@@ -84,19 +84,33 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, l2:
 
 
 def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept that calibrate a score on held-out labels."""
-    a, b = 1.0, 0.0
+    """Slope and intercept that calibrate a score on held-out labels; a score that tells nothing gives the prior."""
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
+    prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    middle, spread = float(score.mean()), float(score.std())
+    if spread < 1e-9:
+        return 0.0, prior
+    x = np.stack([(score - middle) / spread, np.ones(len(score))])
     t = np.where(y == 1, hi, lo)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
-        r, h = p - t, np.maximum(p * (1 - p), 1e-9)
-        hess = np.array([[(h * score**2).sum() + 1e-6, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, np.array([(r * score).sum(), r.sum()]))
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-        if np.abs(step).max() < 1e-9:
+
+    def loss(w: np.ndarray) -> float:
+        z = w @ x
+        return float((np.logaddexp(0, z) - t * z).sum() + 1e-3 * w[0] ** 2)
+
+    w = np.array([0.0, prior])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -500, 500)))
+        grad = x @ (p - t) + np.array([2e-3 * w[0], 0.0])
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)) @ x.T + np.diag([2e-3, 1e-9]), grad)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return max(0.0, float(a)), float(b)
+    if w[0] <= 0:
+        return 0.0, prior
+    return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
 @dataclass
