@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_prefix
+from .common import free_prefix, worker_cache
 from .rules import labelled
 from .textstats import COUNTS, counts
 
 #: Rows fitted on at most: labelled ones, and ones of the unlabelled pool.
 LABELLED_ROWS, POOL_ROWS = 5_000, 3_000
 WORD_SLOTS, META_SLOTS, RATIOS = 2048, 256, 9
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 ROUNDS, PER_ROUND, SURE = 4, 150, 0.95
 
 
@@ -49,8 +49,7 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
         20 * c["n_symbols"] / chars, 20 * c["n_marks"] / chars, 2 * c["n_upper"] / chars, 5 * c["n_digits"] / chars, 2 * c["n_repeat_words"] / n,
         c["n_dup_lines"] / max(1, c["n_lines"]), chars / n / 10, c["n_distinct_words"] / n, np.log1p(c["n_words"]) / 8,
     ]
-    if len(_slots) > CACHE_WORDS:
-        _slots.clear()
+    worker_cache("word slots", _slots, CACHE_WORDS)
     hits = np.bincount(np.fromiter(map(_slots.__getitem__, words), np.int64, len(words)), minlength=WORD_SLOTS)
     at = np.flatnonzero(hits)
     value = np.log1p(hits[at])

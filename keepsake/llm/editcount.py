@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_cache
+
 #: Characters past its end that a match of the pre-token pattern can look at.
 LOOK_AHEAD = 4
 #: Pre-tokens per leaf of the tree, and pre-tokens kept per worker.
@@ -40,8 +42,7 @@ class Splitter(dict):
         self.split = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
+        worker_cache("pre-tokens", self, CACHE)
         self[piece] = n = len(self.encoding.encode_ordinary(piece))
         return n
 
