@@ -56,38 +56,48 @@ def _precision(rule: list[Test], x: np.ndarray, bad: np.ndarray, names: list[str
     return (bad[hit].sum() + 0.5) / (hit.sum() + 1.0)
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int, longest: int) -> list[Test]:
+def _best_split(v: np.ndarray, bad: np.ndarray) -> tuple[float, bool, float]:
+    """(gain, above, threshold) of the best split of one feature, over all its values.
+
+    The gain is that of covering bad rows: how many are kept, times the bits by
+    which their share rises. Thresholds lie halfway between neighbouring values.
+    """
+    order = np.argsort(v, kind="stable")
+    v, bad = v[order], bad[order]
+    ends = np.flatnonzero(v[1:] != v[:-1])  # last row of each value but the largest
+    if not len(ends):
+        return 0.0, True, 0.0
+    low_bad, low_all = np.cumsum(bad)[ends], ends + 1
+    now, best = np.log2(bad.mean()), (0.0, True, 0.0)
+    for above, hits, rows in ((True, bad.sum() - low_bad, len(v) - low_all), (False, low_bad, low_all)):
+        gain = hits * (np.log2(np.maximum(hits, 1e-9) / rows) - now)
+        i = int(np.argmax(gain))
+        if gain[i] > best[0] + 1e-9:
+            best = (float(gain[i]), above, float((v[ends[i]] + v[ends[i] + 1]) / 2))
+    return best
+
+
+def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], longest: int) -> list[Test]:
     rule: list[Test] = []
     inside = np.ones(len(x), bool)
     while len(rule) < longest and bad[inside].any() and not bad[inside].all():
-        now = np.log2(bad[inside].mean())
-        best: tuple[float, Test | None] = (1e-9, None)
-        for j, name in enumerate(names):
-            v = x[inside, j]
-            for threshold in np.unique(np.quantile(v, np.linspace(0, 1, cuts + 1))):
-                for above in (True, False):
-                    hit = v >= threshold if above else v <= threshold
-                    good = bad[inside][hit].sum()
-                    if good == 0 or hit.all():
-                        continue
-                    gain = good * (np.log2(good / hit.sum()) - now)
-                    if gain > best[0]:
-                        best = (gain, Test(name, above, float(threshold)))
-        if best[1] is None:
+        found = [_best_split(x[inside, j], bad[inside]) for j in range(len(names))]
+        j = max(range(len(names)), key=lambda i: found[i][0])
+        if found[j][0] <= 0:
             break
-        rule.append(best[1])
-        inside &= _mask([best[1]], x, names)
+        rule.append(Test(names[j], found[j][1], found[j][2]))
+        inside &= _mask(rule[-1:], x, names)
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], hold_out: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16, cuts: int = 32) -> list[list[Test]]:
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], hold_out: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16) -> list[list[Test]]:
     """Ordered rules for ``bad`` rows; ``hold_out`` marks the rows used for pruning."""
     left, rules = np.ones(len(x), bool), []
     while len(rules) < most:
         grow, prune = left & ~hold_out, left & hold_out
-        if bad[grow].sum() < 5:
+        if bad[grow].sum() < 3:
             break
-        rule = _grow(x[grow], bad[grow], names, cuts, longest)
+        rule = _grow(x[grow], bad[grow], names, longest)
         while len(rule) > 1 and _precision(rule[:-1], x[prune], bad[prune], names) >= _precision(rule, x[prune], bad[prune], names):
             rule = rule[:-1]
         hit = _mask(rule, x, names) & left if rule else np.zeros(len(x), bool)
