@@ -22,10 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors; they go when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/keepsake-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df`` once and read it back with its schema."""
