@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Distinct edges up to this number (a few MB) are joined in one task, without rounds.
+ONE_TASK_EDGES = 200_000
+
+
+def _union(table: pa.Table) -> pa.Table:
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (p := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent.setdefault(p, p)
+        return i
+
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(n) for n in nodes], pa.int64())})
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the smallest node of its component.
@@ -15,9 +34,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     the edges; the graph shrinks until no edge is left, then the rounds' maps are
     composed. Edges from a node to itself make it a component of its own.
     """
-    spark = edges.sparkSession
-    loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
-    now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges0")
+    start = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    if start.count() <= ONE_TASK_EDGES:
+        return scratch.save(start.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_union, "node long, root long"), f"{name}-out")
+    loops = start.where("a = b").select(F.col("a").alias("node"))
+    now = start.where("a <> b")
     maps: list[DataFrame] = []
     while not now.isEmpty():
         k = len(maps)
@@ -27,11 +48,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         left, right = step.select(F.col("node").alias("a"), F.col("root").alias("ra")), step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         renamed = now.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         maps.append(step)
-        now = scratch.save(renamed.distinct(), f"{name}-edges{k + 1}")
-        scratch.drop(f"{name}-edges{k}")
+        now = scratch.save(renamed.distinct(), f"{name}-edges{k}")
+        if k:
+            scratch.drop(f"{name}-edges{k - 1}")
     if not maps:
-        out = spark.createDataFrame([], "node long, root long") if not loops.columns else loops.select("node", F.col("node").alias("root"))
-        return scratch.save(out, f"{name}-out")
+        return scratch.save(loops.select("node", F.col("node").alias("root")), f"{name}-out")
     out = maps[0]
     for step in maps[1:]:
         nxt = step.select(F.col("node").alias("root"), F.col("root").alias("_next"))
