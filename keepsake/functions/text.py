@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Substrings of the lower-cased body that mark a category.
@@ -57,15 +57,21 @@ def phone(body: Column) -> Column:
     return (F.regexp_count(body, F.lit("[0-9]")) >= PHONE_DIGITS) & body.rlike(r"[-()+]")
 
 
-def sensitivity(body: Column) -> dict[str, Column]:
-    """The five categories in their fixed order."""
-    low = F.lower(body)
+def sensitivity(body: Column, low: Column | None = None) -> dict[str, Column]:
+    """The five categories in their fixed order; ``low`` is a column that holds the lower-cased body already."""
+    low = F.lower(body) if low is None else low
     return {
         "credential": contains_any(low, CREDENTIAL) | secret_token(body), "health": contains_any(low, HEALTH), "financial": contains_any(low, FINANCIAL),
         "legal": contains_any(low, LEGAL), "pii": email(body) | phone(body),
     }
 
 
+def with_sensitivity(items: DataFrame) -> DataFrame:
+    """``items`` with the categories and ``sensitivity``. The body is lower-cased once, in a projection of its own."""
+    lowered = items.withColumn("_low", F.lower("body"))
+    return lowered.withColumns(sensitivity(F.col("body"), F.col("_low"))).drop("_low").withColumn("sensitivity", level())
+
+
 def level() -> Column:
     """Ordinal of the detected level, from the category columns; never below internal."""
     return F.when(F.col("credential"), 4).when(F.col("health") | F.col("financial") | F.col("legal"), 3).when(F.col("pii"), 2).otherwise(1)

@@ -75,7 +75,7 @@ levels AS (SELECT *, CASE WHEN credential THEN 4 WHEN health OR financial OR leg
 
 
 def leveled(items: DataFrame) -> DataFrame:
-    return items.withColumns(text.sensitivity(F.col("body"))).withColumn("sensitivity", text.level())
+    return text.with_sensitivity(items)
 
 
 @query(f"WITH {ITEMS_SQL}, {FLAGS_SQL} SELECT id, credential, health, financial, legal, pii, sensitivity, CAST(confidence AS DOUBLE) AS confidence FROM levels")
