@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ def scale(vector: Column) -> Column:
 
 
 def codes(vector: Column, by: Column) -> Column:
-    """Half away from zero, as the reference codes are; at most 127 in magnitude."""
+    """Rounded half away from zero; at most 127 in magnitude."""
     return F.transform(vector, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / by).cast("int"))))
 
 
