@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
+from .common import worker_cache
 
-#: Words kept per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 800_000
-#: Words of one call of the tokenizer.
-CALL_WORDS = 64
-#: Fixed value: a special token of the vocabulary, used as a separator of words.
-SEPARATOR, SEPARATOR_ID = "<|startoftext|>", 49406
+#: Words kept per Python worker; beyond it the cache starts anew. (Keeping what is met again
+#: would cost more memory than words: survivors pin the pages that the others have left.)
+CACHE_WORDS = 700_000
+
+#: Trailing marks that are split off before a word is looked up (the apostrophe has rules of its own).
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -29,6 +30,11 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: 256 + i for i, b in enumerate(others)}
 
     @staticmethod
     def of(path: str) -> "WordEncoder":
@@ -37,35 +43,28 @@ class WordEncoder(dict):
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        for w in words:
-            if b"<|" in w:  # may hold special tokens
-                ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-                self[w] = np.array(ids, "<u4").tobytes()
-        groups = [plain[i : i + CALL_WORDS] for i in range(0, len(plain), CALL_WORDS)]
-        texts = [SEPARATOR.join(w.decode("utf-8", "replace") for w in g) for g in groups]
-        for g, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == SEPARATOR_ID)
-            raw, last = ids.tobytes(), 0
-            for w, cut in zip(g, [*cuts.tolist(), len(ids)]):
-                self[w] = raw[4 * last : 4 * cut]
-                last = cut + 1
+    def __missing__(self, word: bytes) -> bytes:
+        """Learns a word: from its stem and trailing marks, from the model alone, or from the whole tokenizer."""
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem and 97 <= stem[-1] <= 122 and b"<|" not in word:
+            found = self[stem] + self[word[len(stem) :]]  # a letter ends a pre-token, so both are encoded apart
+        else:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+                # lower-case Latin letters are one pre-token that the normaliser leaves as it is
+                parts = self.model.tokenize(text if text.isascii() else word.decode("latin-1").translate(self.letters))
+                found = array("I", [t.id for t in parts]).tobytes()
+            else:
+                found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        out = []
-        for i in range(0, len(texts), 256):
+        out, get = [], self.__getitem__
+        for i, t in enumerate(texts):
+            if i % 64 == 0:
+                worker_cache("token ids", self, CACHE_WORDS)
             # lower case of ASCII first: the normaliser lowers anyway, and the cache holds fewer words
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[i : i + 256]]
-            if len(self) > CACHE_WORDS:
-                self.clear()
-            new = set()
-            for words in split:
-                new.update(words)
-            if new := [w for w in new if w not in self]:
-                self._learn(new)
-            get = self.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
+            out.append(b"".join(map(get, (t if b"<|" in t else t.lower()).split())))
         return out
