@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_prefix, worker_cache
+from .common import free_prefix, slices, worker_cache
 from .rules import labelled
 from .textstats import COUNTS, counts
 
 #: Rows fitted on at most: labelled ones, and ones of the unlabelled pool.
 LABELLED_ROWS, POOL_ROWS = 5_000, 3_000
 WORD_SLOTS, META_SLOTS, RATIOS = 2048, 256, 9
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 ROUNDS, PER_ROUND, SURE = 4, 150, 0.95
 
 
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, meta: list[str], text: str = "text",
     n = len(meta)
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [text_view(t) for t in batch.column("text").to_pylist()]
             slots = [meta_view(list(v)) for v in zip(*[batch.column(f"m{i}").to_pylist() for i in range(n)])]
             yield pa.RecordBatch.from_arrays([
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*[batch.column(c).to_pylist() for c in meta]) if meta else [()] * batch.num_rows
             z = np.array([model.log_odds(t, list(v)) for t, v in zip(batch.column(body).to_pylist(), rows)], float).reshape(-1, 3)
             p = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_cache
+from .common import slices, worker_cache
 
 #: Characters past its end that a match of the pre-token pattern can look at.
 LOOK_AHEAD = 4
@@ -176,7 +176,7 @@ def count_edited(docs: DataFrame, edits: str, path: str, pattern: str, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter.of(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 tree = CountTree(t or "", splitter)

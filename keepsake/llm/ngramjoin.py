@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, shuffle_partitions, worker_cache
+from .common import BROADCAST_ROWS, Scratch, shuffle_partitions, slices, worker_cache
 from .components import components
 
 WORDS = 5
@@ -40,8 +40,8 @@ PERCENT = 75
 #: Share of a set, in percent, that the longer prefixes of step 2 must have in common.
 COMMON_PERCENT = 15
 #: Hashes that a task gathers before it combines and sends them.
-FLUSH = 2_000_000
-CACHE_WORDS = 400_000
+FLUSH = 1_500_000
+CACHE_WORDS = 300_000
 #: Sets in a part of a block, and pivots in each part.
 PART, PIVOTS = 256, 8
 #: Hashes of a pack of sets.
@@ -133,7 +133,7 @@ def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key
 
         names, kinds = ["kind", "bucket", "key", "n", "cls", "a", "b"], []
         row = 0
-        for batch in batches:
+        for batch in slices(batches):
             kinds[:] = [batch.column(0).type]
             n, cls = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -390,7 +390,7 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
     # the survivors' whole sets, from their texts
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cls, blob = [], []
             for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingles(t, words)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, dense_ranks
+from .common import Scratch, dense_ranks, slices
 from .tokens import WordEncoder
 
 CAPACITY = 2048
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
 
     def cut(batches):
         encoder, step = WordEncoder.of(tokenizer), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode("utf-8") if t else b"" for t in batch.column(1).to_pylist()]
             row, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, packed in enumerate(encoder.ids(texts)):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_prefix
+from .common import free_prefix, slices
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -63,7 +63,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     mark = free_prefix(docs) + "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([counts(t) for t in batch.column(mark).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(found[:, i]) for i in range(len(COUNTS))]], [*keep, *names])
 

@@ -9,7 +9,7 @@ from .common import worker_cache
 
 #: Words kept per Python worker; beyond it the cache starts anew. (Keeping what is met again
 #: would cost more memory than words: survivors pin the pages that the others have left.)
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 #: Trailing marks that are split off before a word is looked up (the apostrophe has rules of its own).
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
