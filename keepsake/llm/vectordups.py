@@ -13,8 +13,11 @@
    radii of both units.
 5. Pairs found are verified in double precision: units of one at once; of two balls,
    by their radii where these decide, else member by member.
-6. The recall is audited against brute force for a bounded set of queries; below
-   the wanted recall everything from step 3 is repeated with more overlap.
+6. The recall of each label is audited against brute force: the mean, over all
+   audited vectors, of the share found of their links to other units (links inside
+   a ball are certain and would hide lost ones). Labels below the wanted recall
+   repeat everything from step 3 with more overlap; what then is still below it,
+   and small labels without a link to measure by, are compared block by block.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ DEGREE, NEAREST, OTHERS, ALPHA = 24, 40, 12, 1.2
 BEAM = 24
 #: Classes that a ball has at least.
 BALL = 4
-#: Queries audited at most (ids divisible by 100, the ones with the smallest hash), recall wanted, overlaps tried.
+#: Audited vectors (all with an id divisible by 100) compared in one pass, recall wanted of each label, overlaps tried.
 AUDITED, RECALL, OVERLAPS = 1_000, 0.98, (2, 4)
 #: Radians that bounds are kept clear of the threshold, so that rounding decides nothing.
 MARGIN = 1e-7
@@ -286,37 +290,78 @@ def _counted(pairs: DataFrame, units: DataFrame, members: DataFrame, scratch: Sc
     return counts.unionByName(looked.select("cls", "more")), edges.unionByName(looked.where("linked").select("a", "b"))
 
 
-def audit(classes: DataFrame, found: DataFrame, cosine: float) -> float:
-    """Links found over links that brute force finds, for the audited queries (1 if there are none)."""
-    asked = classes.where(F.pmod(F.col("low"), F.lit(100)) == 0).orderBy(F.xxhash64("low"), "low").limit(AUDITED)
-    rows = asked.join(found, "cls", "left").select("cls", "grp", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()
-    if not rows:
-        return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast([(r.cls, r.grp, bytes(r.vec)) for r in rows])  # AUDITED vectors at most
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str, list[int]] = {}
-        for i, (_, g, _) in enumerate(shared.value):
-            by.setdefault(g, []).append(i)
-        asked = {g: (np.array([shared.value[i][0] for i in at]), np.stack([np.frombuffer(shared.value[i][2], np.float64) for i in at])) for g, at in by.items()}
-        total = 0
-        for batch in batches:
-            group = np.array(batch.column("grp").to_pylist(), object)
-            for g in set(group.tolist()) & set(asked):
-                at = np.flatnonzero(group == g)
-                part = batch.take(pa.array(at))
-                x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(at), -1)
-                hit = (asked[g][1] @ x.T) >= cosine
-                hit &= asked[g][0][:, None] != part.column("cls").to_numpy()[None, :]
-                total += int((hit @ part.column("w").to_numpy()).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+def _exact_pairs(units: DataFrame, scratch: Scratch, theta: float) -> DataFrame:
+    """(u, v, cosine) as of ``_graph_pairs``, from all pairs: each two blocks of a label's units meet in one task."""
+    sizes = units.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SHARD_MOST).cast("int").alias("blocks"))
+    rows = units.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("unit", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("grp", "unit", "vec", "radius", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        data = table.sort_by("unit")
+        ids, x, radius, own = data.column("unit").to_numpy(), _matrix(data.column("vec")), data.column("radius").to_numpy(), data.column("own").to_numpy()
+        low, high = data.column("low")[0].as_py(), data.column("high")[0].as_py()
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        reach = math.cos(min(math.pi, theta + 2 * float(radius.max()) + 1e-6))
+        out = []
+        for i in range(0, len(left), 512):
+            part = left[i : i + 512]
+            cosines = x[part] @ x[right].T
+            a, b = np.nonzero(cosines >= reach)
+            c, a, b = cosines[a, b], part[a], right[b]
+            points = (radius[a] == 0) & (radius[b] == 0)
+            hit = np.where(points, c >= math.cos(theta), _angle(c) <= theta + radius[a] + radius[b] + MARGIN)
+            hit &= (low != high) | (a < b)
+            out.append((ids[a[hit]], ids[b[hit]], c[hit]))
+        u, v, c = [np.concatenate(o) if out else np.array([], t) for o, t in zip(list(zip(*out)) or [()] * 3, (np.int64, np.int64, np.float64))]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
-    true = classes.select("cls", "grp", "vec", "w").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    return sum(r.links for r in rows) / true if true else 1.0
+    return scratch.save(rows.groupBy("grp", "low", "high").applyInArrow(compare, "u long, v long, cosine double"), "exact-pairs")
+
+
+def audit(homes: DataFrame, found: DataFrame, scratch: Scratch, cosine: float, tag: str) -> DataFrame:
+    """(grp, recall): by label, the mean share found of the links to other units, over the audited classes that have any.
+
+    ``homes``: cls, grp, vec, w, asked, unit; ``found``: cls, links to other units.
+    """
+    asked = homes.where("asked").select("cls", "grp", "vec", "unit")
+    passes = -(-asked.count() // AUDITED)
+    true = []
+    for at in range(passes):
+        some = asked.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(passes)) == at).collect()  # about AUDITED vectors
+        shared = homes.sparkSession.sparkContext.broadcast([(r.cls, r.grp, bytes(r.vec), r.unit) for r in some])
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            by: dict[str, list[tuple]] = {}
+            for cls, g, vec, unit in shared.value:
+                by.setdefault(g, []).append((cls, np.frombuffer(vec, np.float64), unit))
+            cls = {g: np.array([r[0] for r in rows]) for g, rows in by.items()}
+            x = {g: np.stack([r[1] for r in rows]) for g, rows in by.items()}
+            unit = {g: np.array([r[2] for r in rows]) for g, rows in by.items()}
+            total = {g: np.zeros(len(rows), np.int64) for g, rows in by.items()}
+            for batch in batches:
+                group = np.array(batch.column(0).to_pylist(), object)
+                for g in set(group.tolist()) & set(by):
+                    part = batch.take(pa.array(np.flatnonzero(group == g)))
+                    hit = (x[g] @ _matrix(part.column(1)).T) >= cosine
+                    hit &= unit[g][:, None] != part.column(3).to_numpy()[None, :]
+                    total[g] += hit @ part.column(2).to_numpy()
+            for g, n in total.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[g][some], pa.int64()), pa.array(n[some], pa.int64())], ["_cls", "n"])
+
+        counted = homes.select("grp", "vec", "w", "unit").mapInArrow(count, "_cls long, n long").groupBy("_cls").agg(F.sum("n").alias("n"))
+        true.append(scratch.save(counted, f"{tag}-true{at}"))
+        shared.unpersist()
+    if not true:
+        return asked.select("grp", F.lit(1.0).alias("recall"))
+    rows = asked.join(reduce(DataFrame.unionByName, true), F.col("cls") == F.col("_cls")).join(found, "cls", "left")
+    share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
+    return scratch.save(rows.groupBy("grp").agg(F.avg(share).alias("recall")), f"{tag}-recall")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> tuple[DataFrame, float]:
-    """((key, n_links, component_id, kept) for every row; the audited recall).
+    """((key, n_links, component_id, kept) for every row; the lowest audited recall of a label).
 
     Vectors are compared within equal labels and equal widths. Rows with a null
     id, label or vector, null or non-finite components, or only zeros have no
@@ -328,7 +373,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     scratch = Scratch(spark)
     theta = math.acos(cosine)
     valid = scratch.save(unit_vectors(df, key, vector, label), "valid")
-    classes = scratch.save(valid.groupBy("cls", "grp", "vec").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("w")), "classes")
+    classes = scratch.save(valid.groupBy("cls", "grp", "vec").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("w"), F.max(F.pmod(F.col("id"), F.lit(100)) == 0).alias("asked")), "classes")
 
     # balls, among the classes that share their nearest centroid
     near = split(classes.select(F.col("cls").alias("p"), "grp", "vec"), scratch, "near", 1)
@@ -362,15 +407,38 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     # a class's own copies and the rest of its ball
     inner = members.select("cls", (F.col("weight") - 1).alias("more"))
 
-    recall = 0.0
-    for overlap in OVERLAPS:
-        pairs = _graph_pairs(units, scratch, theta, overlap)
-        counts, edges = _counted(pairs, units, members, scratch, theta, cosine, f"o{overlap}")
-        totals = scratch.save(counts.unionByName(inner).groupBy("cls").agg(F.sum("more").alias("n_links")), f"totals{overlap}")
-        others = totals.join(classes.select("cls", "w"), "cls").select("cls", (F.col("n_links") - (F.col("w") - 1)).alias("links"))
-        recall = audit(classes, others, cosine)
-        if recall >= RECALL:
+    homes = scratch.save(classes.join(members.select("cls", "unit"), "cls").select("cls", "grp", "vec", "w", "asked", "unit"), "homes")
+    todo, settled, exact, recall = units, [], [], 1.0
+
+    def of(labels: DataFrame, counts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return counts.join(homes.join(labels, "grp", "left_semi").select("cls"), "cls", "left_semi"), edges.join(units.join(labels, "grp", "left_semi").select(F.col("unit").alias("a")), "a", "left_semi")
+
+    for i, overlap in enumerate(OVERLAPS):
+        tag = f"o{overlap}"
+        pairs = _graph_pairs(todo, scratch, theta, overlap)
+        counts, edges = _counted(pairs, todo, members, scratch, theta, cosine, tag)
+        found = scratch.save(counts.groupBy("cls").agg(F.sum("more").alias("links")), f"{tag}-found")
+        judged = audit(homes.join(todo.select("grp").distinct(), "grp", "left_semi"), found, scratch, cosine, tag)
+        sizes = todo.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(judged, "grp", "left")
+        below = F.lit("exact" if i == len(OVERLAPS) - 1 else "again")
+        # without a link to measure by, a label of one block is compared whole
+        fate = F.when(F.col("recall") < RECALL, below).when(F.col("recall").isNull() & (F.col("n") <= SHARD_MOST), "exact").otherwise("done")
+        fates = scratch.save(sizes.withColumn("fate", fate), f"{tag}-fates")
+        ends = {r["fate"]: r["recall"] for r in fates.groupBy("fate").agg(F.min("recall").alias("recall")).collect()}
+        if "done" in ends:
+            recall = min(recall, 1.0 if ends["done"] is None else ends["done"])
+            settled.append(of(fates.where("fate = 'done'").select("grp"), counts, edges) if len(ends) > 1 else (counts, edges))
+        if "exact" in ends:
+            exact.append(fates.where("fate = 'exact'").select("grp"))
+        if "again" not in ends:
             break
+        todo = scratch.save(todo.join(fates.where("fate = 'again'").select("grp"), "grp", "left_semi"), f"{tag}-again")
+    if exact:
+        todo = scratch.save(units.join(reduce(DataFrame.unionByName, exact), "grp", "left_semi"), "exact")
+        settled.append(_counted(_exact_pairs(todo, scratch, theta), todo, members, scratch, theta, cosine, "exact"))
+    counts = reduce(DataFrame.unionByName, [c for c, _ in settled], inner)
+    edges = reduce(DataFrame.unionByName, [e for _, e in settled]) if settled else units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).limit(0)
+    totals = scratch.save(counts.groupBy("cls").agg(F.sum("more").alias("n_links")), "totals")
     joined = components(edges, scratch, "links").withColumnsRenamed({"node": "unit"})
     roots = members.join(joined, "unit", "left").select("cls", F.coalesce("root", "unit").alias("root"))
     roots = roots.join(classes.select("cls", "low"), "cls")

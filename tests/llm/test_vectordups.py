@@ -72,3 +72,30 @@ def test_repeated_ids_and_extra_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 5), (1, [1.0, 0.0], 1, 5), (2, [0.0, 1.0], 1, 5)], SCHEMA + ", cls int")
     got = sorted(tuple(r) for r in V.near_duplicates(df)[0].collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_a_dense_ball_does_not_hide_lost_links(spark, monkeypatch):
+    """Certain links of a ball outnumber all others; of those, one overlap loses some."""
+    for name, value in (("SHARD", 40), ("SHARD_MOST", 90), ("OVERLAPS", (1, 2))):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(5)
+    ball = rng.normal(size=64)
+    x = [ball + rng.normal(size=64) * 0.02 for _ in range(400)]
+    for _ in range(150):
+        one = rng.normal(size=64)
+        x += [one, *[one + rng.normal(size=64) * 0.37 for _ in range(2)]]
+    rows = [(100 * int(k), [float(a) for a in v], 1) for k, v in zip(rng.permutation(len(x)), x)]
+    got, recall = run(spark, rows)
+    assert recall >= 0.98
+    shares = [min(1.0, g[1] / w[1]) for g, w in zip(got, brute(rows)) if 0 < w[1] < 300]
+    assert len(shares) > 300 and np.mean(shares) >= 0.98
+
+
+def test_labels_are_judged_apart_and_unmeasured_ones_compared_whole(spark, monkeypatch):
+    """No search finds anything here: links come from the comparison of blocks alone."""
+    monkeypatch.setattr(V, "search", lambda *a: np.array([], np.int64))
+    rng = np.random.default_rng(6)
+    x = [rng.normal(size=16) for _ in range(60)]
+    x += [x[i] + rng.normal(size=16) * 0.02 for i in range(60)]
+    rows = [(i * (100 if i % 2 else 1) + 7 * (i % 2 == 0), [float(a) for a in v], i % 2) for i, v in enumerate(x)]
+    assert run(spark, rows)[0] == brute(rows)
