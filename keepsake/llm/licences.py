@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,22 @@ LICENCES = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
 ]
 
+# Titles that a text may be headed by.
+_TITLES = {"MIT": ["MIT License", "The MIT License (MIT)", "The MIT License"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License", "The zlib/libpng License"]}
+#: Notices that no licence is given.
+NO_LICENCE = [("LicenseRef-All-Rights-Reserved", t) for t in ("All rights reserved.", "No license is granted.", "No part of this work may be reproduced without permission.")]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(SPDX name, text) of the files in licence_texts and of LICENCES, with and without the title and what may stand around it."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    found = [(f.stem.removesuffix("-UC"), f.read_text("utf-8")) for f in files]
+    found += [(n, t.removeprefix(f"{n} License\n")) for n, t in LICENCES if n in ("MIT", "ISC", "0BSD") and "\n" in t]
+    found += [(n, t.split("APPENDIX: How to apply")[0]) for n, t in found if n == "Apache-2.0"]  # the terms alone
+    found += [(n, f"All rights reserved.\n{t}") for n, t in found if n in _TITLES]  # what is left of a copyright line's second half
+    return found + [(n, f"{title}\n{t}") for n, t in found for title in _TITLES.get(n, [])]
+
+
 #: A line is a copyright line if it opens with one of these marks; it says who holds a text, not under what terms.
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\s+(?:\(c\)|©|[0-9])|\(c\)\s*[0-9]|©)[^\n]*$"
 
@@ -50,11 +68,18 @@ def digest(text: Column) -> Column:
     return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
+def _mark(text: Column) -> Column:
+    """The longest word of the canonical text that no respelling makes: every line with the same digest holds it."""
+    made = F.array(*[F.lit(w) for w in sorted({w for v in SPELLINGS.values() for w in v.split()})])
+    own = F.array_except(F.split(canonical(text), " "), made)
+    return F.array_max(F.transform(own, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def known(spark: SparkSession, licences: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(licence, digest), one row per digest; as many rows as texts are listed."""
-    rows = [F.struct(F.lit(a).alias("licence"), F.lit(b).alias("text")) for a, b in licences or LICENCES]
+    """(licence, digest, mark), one row per digest; as many rows as texts are listed."""
+    rows = [F.struct(F.lit(a).alias("licence"), F.lit(b).alias("text")) for a, b in licences or LICENCES + NO_LICENCE + whole_texts()]
     listed = spark.range(1).select(F.inline(F.array(*rows)))
-    return listed.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("licence").alias("licence"))
+    return listed.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("licence").alias("licence"), F.max(_mark(F.col("text"))).alias("mark"))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", licences: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -68,9 +93,11 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", licences: lis
     found = known(docs.sparkSession, licences)
     whole = docs.select(F.col(key), F.col(text).alias("_text"), digest(F.col(text)).alias("digest"))
     joined = whole.join(F.broadcast(found), whole["digest"] == found["known_digest"], "left")
-    table = found.agg(F.map_from_entries(F.collect_list(F.struct("known_digest", "licence"))).alias("_known"))
-    table = table.first()["_known"]  # as many entries as licences
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-    lines = F.transform(F.split("_text", "\n"), lambda x: F.try_element_at(lookup, F.coalesce(digest(x), F.lit(""))))
-    noted = F.when(F.col("_text").rlike("(?i)licen[sc]"), F.array_sort(F.array_distinct(F.array_compact(lines))))
+    table = {r["known_digest"]: r for r in found.where("known_digest is not null").collect()}  # as many entries as licences
+    lookup = F.create_map(*[F.lit(x) for k in sorted(table) for x in (k, table[k]["licence"])])
+    marks = {r["mark"] for r in table.values()}
+    lines = F.split("_text", "\n")
+    if None not in marks:  # only lines that hold a listed text's mark are digested
+        lines = F.filter(lines, lambda x: F.lower(x).rlike("|".join(sorted(marks))))
+    noted = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda x: F.try_element_at(lookup, F.coalesce(digest(x), F.lit("")))))))
     return joined.select(key, "digest", "licence", F.coalesce(noted, F.array().cast("array<string>")).alias("notices"))

@@ -34,3 +34,16 @@ def test_repeated_rows_long_texts_and_clashing_columns(spark):
     assert L.scan(df.limit(0)).collect() == []
     plan = L.scan(df)._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_whole_texts_and_notices_without_the_word(spark):
+    whole = L.whole_texts()
+    bsd = next(t for n, t in whole if n == "BSD-3-Clause")
+    texts = [t for _, t in whole] + ["Some words.\nAll rights reserved.\nmore", "BSD 3-Clause License\n\nCopyright (c) 2020, J Roe\nAll rights reserved.\n\n" + bsd]
+    got = look(spark, texts)
+    assert [got[i].licence for i in range(len(whole))] == [n for n, _ in whole]
+    assert {"Apache-2.0", "BSD-2-Clause", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0"} <= {n for n, _ in whole}
+    assert got[len(whole)].licence is None and got[len(whole)].notices == ["LicenseRef-All-Rights-Reserved"]
+    assert got[len(whole) + 1].licence == "BSD-3-Clause"
+    df = spark.createDataFrame([(1, "a\nOwned by the house!\nb")], "doc_id long, text string")
+    assert L.scan(df, licences=[("X", "Owned by the house")]).first().notices == ["X"]
