@@ -27,10 +27,14 @@ LABELLED_PAGES = 2_000
 
 # Names of HTML elements, by how they are read.
 CONTENT = frozenset("article main".split())
-RAW = frozenset("script style textarea noscript template svg math iframe object canvas select".split())
-BOILERPLATE = frozenset("head nav header footer aside form button dialog menu".split()) | RAW
+RAW = frozenset("script style textarea noscript template svg iframe object canvas select".split())
+BOILERPLATE = frozenset("head nav header footer aside form button dialog menu annotation annotation-xml".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first set is closed by a start tag of its own kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 # Words of a class, id or role that name another purpose than content.
@@ -41,11 +45,12 @@ PURPOSES = frozenset(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|textarea|noscript|template|svg|math|iframe|object|canvas|select)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(script|style|textarea|noscript|template|svg|iframe|object|canvas|select)\b"
+    r"(?:(?<=<svg)(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|[^>]*>.*?(?:</\1\s*>|$))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<!\[CDATA\[.*?\]\]>|[^<]+|<",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Scores without labelled pages, and for names that none of them holds.
 WORD, TAG, OTHER_WORD, OTHER_TAG = 1.0, -0.3, 0.02, -1.0
@@ -59,7 +64,14 @@ def other_purpose(name: str, attributes: str, stack: list) -> bool:
         return True
     if name in CONTENT or name in ("html", "body") or "=" not in attributes:
         return False
-    words = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", next(g for g in m.groups() if g is not None).lower())}
+    inside = any(x[0] in CONTENT for x in stack)
+    words = set()
+    for m in _NAMED.finditer(attributes):
+        named, value = m.group(1).lower(), next(g for g in m.groups()[1:] if g is not None).lower()
+        if named == "id" and (name in HEADINGS or inside and name == "section"):
+            continue  # made from the heading's words
+        # inside content only a whole name counts: "related-work" is a subject, "related" is a list of links
+        words.update(value.split() if inside else re.split(r"[^a-z]+", value))
     if name in ("h1", "h2", "h3", "p"):
         words -= {"header"}
     return bool(words & PURPOSES)

@@ -53,3 +53,19 @@ def test_table(spark, weights):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id, r.n_chars, r.text) for r in got.collect()) == [(1, len(TEXT), TEXT), (1, len(TEXT), TEXT), (2, 0, "")]
     assert extract_all(df.limit(0), weights).collect() == []
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><h2 id="related-work">Related work</h2><p>Words of it.</p></article>', "Related work\nWords of it."),
+        ('<h2 id="search">Search</h2><p>Words of it that go on.</p>', "Search\nWords of it that go on."),
+        ('<main><section id="search-results"><p>What was found here.</p></section><div id="social-policy"><p>What was decided.</p></div></main>', "What was found here.\nWhat was decided."),
+        ('<article><p>' + "Body of it. " * 40 + '</p><div class="share box"><p>Share it</p></div><div id="comments"><p>Nice</p></div><p>' + "More of it. " * 40 + "</p></article>", ("Body of it. " * 40).strip() + "\n" + ("More of it. " * 40).strip()),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p></article>", "Let x=2 be given."),
+        ('<article><p>Before it.</p><svg width="1" title="a>b"/><p>After it.</p><math/><p>And the end.</p></article>', "Before it.\nAfter it.\nAnd the end."),
+        ("<article><p>Before it.</p><svg><text>drawn</text></svg><p>After it.</p></article>", "Before it.\nAfter it."),
+    ],
+)
+def test_article_text_stays(weights, html, text):
+    assert extract(html, weights) == text
