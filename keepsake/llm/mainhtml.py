@@ -1,11 +1,12 @@
 """Main-text extraction by the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of tags and words. Words score positive, tags negative; one
-linear scan finds the contiguous region with the largest sum. The scores are log
-ratios counted on labelled pages (those that mark their content with ``article``
-or ``main``), by the kind of block a word stands in and the name of a tag, apart
-for what lies in a container of another purpose (menus, adverts, forms, ...).
-Words of such containers inside the region are left out of the text.
+A page is a sequence of blocks: words, and the tags before and among them. Words
+score positive, tags negative; one linear scan finds the contiguous region with
+the largest sum. The scores are shares counted on labelled pages (those that mark
+their content with ``article`` or ``main``): of words by the block's tag, its
+length and whether it is links, of tags by their name. Names that say a container
+holds something else (menus, adverts, forms, ...) are one more counted feature,
+with a low first guess; a page without any such name is parted by shapes and tags.
 """
 
 from __future__ import annotations
@@ -52,57 +53,98 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-#: Scores without labelled pages, and for names that none of them holds.
-WORD, TAG, OTHER_WORD, OTHER_TAG = 1.0, -0.3, 0.02, -1.0
-#: The most that a tag takes off, so that an advert between paragraphs doesn't part them; more for the edge of labelled content.
-MOST_TAG, EDGE_TAG = 1.0, 12.0
-
-
-def other_purpose(name: str, attributes: str, stack: list) -> bool:
-    """Whether an element holds something else than content. A header inside an article is the article's own."""
-    if name in BOILERPLATE and not (name == "header" and any(x[0] in CONTENT for x in stack)):
-        return True
-    if name in CONTENT or name in ("html", "body") or "=" not in attributes:
-        return False
-    inside = any(x[0] in CONTENT for x in stack)
-    words = set()
-    for m in _NAMED.finditer(attributes):
-        named, value = m.group(1).lower(), next(g for g in m.groups()[1:] if g is not None).lower()
-        if named == "id" and (name in HEADINGS or inside and name == "section"):
-            continue  # made from the heading's words
-        # inside content only a whole name counts: "related-work" is a subject, "related" is a list of links
-        words.update(value.split() if inside else re.split(r"[^a-z]+", value))
-    if name in ("h1", "h2", "h3", "p"):
-        words -= {"header"}
-    return bool(words & PURPOSES)
-
-
-def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, other, labelled): tags (value: name), words (value: the text), breaks; ``other``: of another purpose; ``labelled``: inside article or main."""
-    stack: list[tuple[str, bool]] = []
-    inside = others = 0
+#: Tags whose words are text by themselves, short or long.
+TEXT_TAGS = frozenset("p pre blockquote dt dd li tr td th figcaption br h1 h2 h3 h4 h5 h6".split())
+#: Words and tags that the guesses count for beside the labelled pages' own counts.
+PRIOR_WORDS, PRIOR_TAGS = 50.0, 10.0
+#: The guessed share in content of words below a listed name, and the share below which they are left out of the region.
+LISTED, KEPT = 0.02, 0.25
+LEAST_WORD, LEAST_TAG = 0.02, 0.05
+
+
+def purposes(name: str, attributes: str, inside: bool) -> frozenset[str]:
+    """The listed names that say an element holds something else than content. A header inside an article is the article's own."""
+    found = {name} if name in BOILERPLATE and not (name == "header" and inside) else set()
+    if name not in CONTENT and name not in ("html", "body") and "=" in attributes:
+        for m in _NAMED.finditer(attributes):
+            named, value = m.group(1).lower(), next(g for g in m.groups()[1:] if g is not None).lower()
+            if named == "id" and (name in HEADINGS or inside and name == "section"):
+                continue  # made from the heading's words
+            # inside content only a whole name counts: "related-work" is a subject, "related" is a list of links
+            found |= PURPOSES & set(value.split() if inside else re.split(r"[^a-z]+", value))
+        if name in ("h1", "h2", "h3", "p"):
+            found.discard("header")
+    return frozenset(found)
+
+
+@dataclass
+class Block:
+    """Words between two breaks, and the tags since the block before (each with whether it lies in labelled content)."""
+
+    tag: str
+    text: str
+    words: int
+    linked: bool
+    purposes: frozenset[str]
+    labelled: bool
+    tags: list[tuple[str, bool]]
+
+    def shape(self) -> str:
+        """What the words' score is counted by: the tag before them, how many they are, whether most are links."""
+        size = "short" if self.words <= 3 else "middle" if self.words <= 25 else "long"
+        return f"{self.tag} {size}{' linked' * self.linked}"
+
+    def tag_name(self, name: str) -> str:
+        return f"{name} linked" if self.linked else name
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order; the tags after the last are left out, as no region ends with tags."""
+    out: list[Block] = []
+    stack: list[tuple[str, frozenset[str]]] = []
+    inside = links = linked = words = 0
+    tag, pieces, tags = "html", [], []
+
+    held: Counter = Counter()  # purposes of the open elements
+
+    def end_block() -> None:
+        nonlocal words, linked, pieces, tags
+        if words:
+            text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
+            out.append(Block(tag, text, words, 2 * linked > words, frozenset(held), inside > 0, tags))
+            tags = []
+        words, linked, pieces = 0, 0, []
 
     def close(upto: int) -> None:
-        nonlocal inside, others
+        nonlocal inside, links
         while len(stack) > upto:
-            name, other = stack.pop()
+            name, named = stack.pop()
+            for c in named:
+                held[c] -= 1
+                if not held[c]:
+                    del held[c]
             inside -= name in CONTENT
-            others -= other
+            links -= name == "a"
 
     for m in _TOKEN.finditer(page):
         raw, end, name, attributes = m.groups()
         token = m.group()
         if token[0] != "<" or token == "<":
-            yield "words", token, others > 0, inside > 0
+            n = len(token.split())
+            pieces.append(token)
+            words += n
+            linked += n * (links > 0)
             continue
         if name is None:
             if raw:
-                yield "tag", raw.lower(), True, inside > 0
+                tags.append((raw.lower(), inside > 0))
             continue
         name = name.lower()
+        if name not in INLINE:
+            end_block()
         if end:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            yield "tag", name, others > 0, inside > 0 and name not in CONTENT
+            tags.append((name, inside > 0 and name not in CONTENT))
             if at is not None:
                 close(at)
         else:
@@ -112,54 +154,78 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
                 if at is not None and stack[at][0] == "p":  # a block closes an open paragraph
                     close(at)
-            other = other_purpose(name, attributes, stack)
-            yield "tag", name, others > 0 or other, inside > 0
+            tags.append((name, inside > 0))
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, other))
+                stack.append((name, purposes(name, attributes, inside > 0)))
+                held.update(stack[-1][1])
                 inside += name in CONTENT
-                others += other
+                links += name == "a"
         if name not in INLINE:
-            yield "break", name, others > 0, inside > 0
+            tag = name
+    end_block()
+    return out
+
+
+def guess(shape: str) -> float:
+    """The share of such words that lie in content, as far as none are counted."""
+    tag, size, *linked = shape.split(" ")
+    if linked:
+        return 0.05
+    return 0.8 if tag in TEXT_TAGS or size == "long" else 0.05
+
+
+def guess_tag(name: str) -> float:
+    """The share of such tags that lie in content, as far as none are counted."""
+    tag, *linked = name.split(" ")
+    return 0.2 if linked else 0.8 if tag in TEXT_TAGS or tag in INLINE else 0.4
 
 
 @dataclass
 class Weights:
-    """Scores by feature: ``w:`` words by the tag before them, ``t:`` tags; a leading ``x`` for other purposes."""
+    """(inside, outside) counts of words by ``w:`` shape and ``c:`` purpose, and of ``t:`` tags."""
+
+    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def share(self, name: str, prior: float, strength: float) -> float:
+        i, o = self.counts.get(name, (0, 0))
+        return (i + strength * prior) / (i + o + strength)
+
+    def kept(self, purposes: frozenset[str]) -> float:
+        """How far the listed names speak for content: 1 without any; counted pages can speak up for a name."""
+        out = 1.0
+        for c in sorted(purposes):
+            out *= self.share(f"c:{c}", LISTED, PRIOR_WORDS)
+        return out
 
-    scores: dict[str, float] = field(default_factory=dict)
+    def word(self, block: Block) -> float:
+        """Positive; nearly 1 for words like those in labelled content."""
+        shape = block.shape()
+        return max(LEAST_WORD, self.share(f"w:{shape}", guess(shape), PRIOR_WORDS) * self.kept(block.purposes))
 
-    def word(self, block: str, other: bool) -> float:
-        return self.scores.get(f"xw:{block}" if other else f"w:{block}", OTHER_WORD if other else WORD)
+    def tag(self, name: str) -> float:
+        """Negative; nearly -1 for tags that are seldom in labelled content."""
+        return -max(LEAST_TAG, 1.0 - self.share(f"t:{name}", guess_tag(name), PRIOR_TAGS))
 
-    def tag(self, name: str, other: bool) -> float:
-        return self.scores.get(f"xt:{name}" if other else f"t:{name}", OTHER_TAG if other else TAG)
+    def gains(self, block: Block) -> tuple[float, float]:
+        """What the block's words add, and what the tags before them and among them take off."""
+        return block.words * self.word(block), sum(self.tag(block.tag_name(n)) for n, _ in block.tags)
 
 
 def features(page: str) -> tuple[Counter, Counter]:
     """How often each feature occurs inside and outside the labelled content."""
     found = (Counter(), Counter())
-    block = "html"
-    for kind, value, other, labelled in events(page):
-        if kind == "break":
-            block = value
-        elif kind == "tag":
-            found[not labelled][f"xt:{value}" if other else f"t:{value}"] += 1
-        elif n := len(value.split()):
-            found[not labelled][f"xw:{block}" if other else f"w:{block}"] += n
+    for b in blocks(page):
+        here = found[not b.labelled]
+        here[f"w:{b.shape()}"] += b.words
+        for c in b.purposes:
+            here[f"c:{c}"] += b.words
+        for name, labelled in b.tags:
+            found[not labelled][f"t:{b.tag_name(name)}"] += 1
     return found
 
 
 def learn(inside: dict[str, int], outside: dict[str, int]) -> Weights:
-    """Log ratios, held to the signs that the method asks for."""
-    scores = {}
-    for name in {*inside, *outside}:
-        ratio = math.log((inside.get(name, 0) + 1) / (outside.get(name, 0) + 1))
-        if "w:" in name:
-            scores[name] = min(1.0, max(OTHER_WORD, 0.25 * ratio))
-        else:
-            most = EDGE_TAG if name[2:] in CONTENT else MOST_TAG
-            scores[name] = -min(most, max(0.05, 1.0 - ratio))
-    return Weights(scores)
+    return Weights({name: (inside.get(name, 0), outside.get(name, 0)) for name in {*inside, *outside}})
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> Weights:
@@ -182,39 +248,35 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> Weights:
     return learn({r["name"]: r["inside"] for r in found}, {r["name"]: r["outside"] for r in found})
 
 
+def best_region(gains: list[tuple[float, float]]) -> tuple[int, int]:
+    """First and last (excluded) index of the contiguous run with the largest sum; of equal ones the earliest and longest.
+
+    Each entry is what its words add and what the tags before them take off; a
+    run's first tags lie outside of it. Without entries the run is empty.
+    """
+    best, at, total, start = 0.0, (0, 0), 0.0, 0
+    for i, (words, tags) in enumerate(gains):
+        if total + tags < 0 or i == start == 0:
+            total, start = 0.0, i  # what is before costs more than it brings
+        else:
+            total += tags
+        total += words
+        if total > best or total == best and start == at[0]:
+            best, at = total, (start, i + 1)
+    return at
+
+
 def extract(page: str | None, weights: Weights) -> str:
-    """The text of the best region: blocks joined by line feeds, white space inside them as one space."""
+    """The text of the best region: blocks joined by line feeds, white space inside them as one space.
+
+    ``br`` ends a line as a block does. Blocks inside the region whose containers
+    are named for another purpose (an advert between paragraphs) are left out.
+    """
     if not page:
         return ""
-    sequence = list(events(page))
-    # Kadane's scan; of equal sums the longer and earlier region wins
-    best, best_at, total, start, block = 0.0, (0, -1), 0.0, 0, "html"
-    for i, (kind, value, other, _) in enumerate(sequence):
-        if kind == "break":
-            block = value
-            continue
-        if kind == "tag":
-            gain = weights.tag(value, other)
-        else:
-            n = len(value.split())
-            if not n:
-                continue
-            gain = n * weights.word(block, other)
-        if total <= 0 and gain > 0:
-            total, start = 0.0, i
-        total = max(0.0, total + gain)
-        if total > best:
-            best, best_at = total, (start, i)
-    blocks, now = [], []
-    for kind, value, other, _ in sequence[best_at[0] : best_at[1] + 1]:
-        if kind == "words" and not other:
-            now.append(value)
-        elif kind == "break":
-            blocks.append("".join(now))
-            now = []
-    blocks.append("".join(now))
-    clean = (_SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
-    return "\n".join(b for b in clean if b)
+    found = blocks(page)
+    first, last = best_region([weights.gains(b) for b in found])
+    return "\n".join(b.text for b in found[first:last] if b.text and weights.kept(b.purposes) >= KEPT)
 
 
 def extract_all(pages: DataFrame, weights: Weights, html: str = "html", keep: list[str] | None = None, text: str = "text") -> DataFrame:
