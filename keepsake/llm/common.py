@@ -15,9 +15,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set."""
+    """The folder that driver and executors share; only in local mode, where they are one process, is one made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keepsake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -90,20 +92,22 @@ def free_prefix(df: DataFrame) -> str:
     return prefix + "_"
 
 
-def dense_ranks(df: DataFrame, order: list[str], ties: list[str], out: str, parts: int = 8192) -> DataFrame:
+def dense_ranks(df: DataFrame, order: list[str], ties: list[str], out: str, parts: int | None = None) -> DataFrame:
     """Adds ``out``: exact row numbers from 0 by ``order`` then any order, without a global sort.
 
     ``order``: columns with boundedly many distinct values (a curve cell, a
     length; nulls allowed). Rows of one key are dealt to sub-buckets by the hash
     of ``ties``, in proportion to the key's rows: a key with a third of all rows
-    gets about ``parts / 3`` windows. The offsets table has at most ``parts`` plus
-    twice the number of keys rows, which bounds its broadcast at any input size.
+    gets about ``parts / 3`` windows. ``parts`` grows with the rows (20,000 each)
+    from 8,192 to 131,072; the offsets table has at most ``parts`` plus twice the
+    number of keys rows, which bounds its broadcast at any input size.
     Rows equal in ``ties`` are numbered among themselves in any order.
     ``df`` is read three times: pass a stored table.
     """
     from pyspark.sql import Window
 
     total = max(1, df.count())
+    parts = parts or min(131_072, max(8_192, total // 20_000))
     on = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
     keys = keys.select(*order, F.ceil(F.col("_n") * F.lit(parts) / F.lit(total)).cast("long").alias("_subs"))
