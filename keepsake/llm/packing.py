@@ -176,17 +176,17 @@ def best_fit(lengths: DataFrame, scratch: Scratch, capacity: int = CAPACITY, par
         low = lambda p: F.floor(F.col("k") * p / parts).cast("long")
         cut = cut.withColumn("_low", low(F.col("part"))).withColumn("_k", low(F.col("part") + 1) - F.col("_low")).where("_k > 0")
         cut = cut.select("part", "kind", "length", (F.col("first") + F.col("_low")).alias("first"), F.col("_k").alias("k"), "at", "offset")
-        swept = cut.groupBy("part").applyInArrow(part_sweep, _RUN)
+        swept = scratch.save(cut.groupBy("part").applyInArrow(part_sweep, _RUN), f"swept{step}")
 
         def settled(table: pa.Table, step: int = step) -> pa.Table:
-            done = table.filter(pa.compute.equal(table.column("kind"), "p"))
             more, left = settle(_runs(table, "d"), _runs(table, "g"), capacity, step << 40)
-            return pa.concat_tables([done, _rows(more, [], left)])
+            return _rows(more, [], left)
 
         # runs, bounded by lengths, parts and supersteps; their number doesn't grow with the documents
-        state = scratch.save(swept.groupBy(F.lit(0)).applyInArrow(settled, _RUN), f"superstep{step}")
+        rest = swept.where("kind <> 'p'").withColumn("_all", F.lit(0)).groupBy("_all")
+        state = scratch.save(rest.applyInArrow(settled, _RUN), f"settled{step}")
         gaps = state.where("kind = 'g'")
-        placed.append(state.where("kind = 'p'").drop("kind"))
+        placed += [t.where("kind = 'p'").drop("kind") for t in (swept, state)]
     return reduce(DataFrame.unionByName, placed)
 
 

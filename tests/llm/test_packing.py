@@ -76,7 +76,7 @@ def test_runs_are_a_packing_as_good_as_best_fit_decreasing():
 
 
 def test_sweep_gives_the_successor():
-    assert sweep([(5, 0, 2), (3, 0, 1)], [(9, 0, 1), (6, 7, 1), (2, 9, 1)], 10) == ([(5, 0, 1, 7, 4), (5, 1, 1, 0, 1), (3, 0, 1, 0, 6)], [], [(1, 0, 1), (1, 7, 1), (2, 9, 1)])
+    assert sweep([(5, 0, 2), (3, 0, 1)], [(9, 0, 1), (6, 7, 1), (2, 9, 1)], 10) == ([(5, 0, 1, 7, 4), (5, 1, 1, 0, 1), (3, 0, 1, 0, 6)], [], [(1, 7, 1), (1, 0, 1), (2, 9, 1)])
     assert settle([(8, 0, 5)], [], 8, 0)[0] == [(8, 0, 5, 0, 0)]
 
 
