@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -170,6 +171,13 @@ def best_fit(lengths: DataFrame, scratch: Scratch, capacity: int = CAPACITY, par
     def part_sweep(table: pa.Table) -> pa.Table:
         return _rows(*sweep(_runs(table, "d"), _runs(table, "g"), capacity))
 
+    def settled(step: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            placed, left = settle(_runs(table, "d"), _runs(table, "g"), capacity, step << 40)
+            return _rows(placed, [], left)
+
+        return run
+
     for step, (above, upto) in enumerate(bands(capacity)):
         todo = start.where(F.col("length").between(above + 1, upto)).unionByName(gaps)
         cut = todo.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -178,13 +186,9 @@ def best_fit(lengths: DataFrame, scratch: Scratch, capacity: int = CAPACITY, par
         cut = cut.select("part", "kind", "length", (F.col("first") + F.col("_low")).alias("first"), F.col("_k").alias("k"), "at", "offset")
         swept = scratch.save(cut.groupBy("part").applyInArrow(part_sweep, _RUN), f"swept{step}")
 
-        def settled(table: pa.Table, step: int = step) -> pa.Table:
-            more, left = settle(_runs(table, "d"), _runs(table, "g"), capacity, step << 40)
-            return _rows(more, [], left)
-
         # runs, bounded by lengths, parts and supersteps; their number doesn't grow with the documents
         rest = swept.where("kind <> 'p'").withColumn("_all", F.lit(0)).groupBy("_all")
-        state = scratch.save(rest.applyInArrow(settled, _RUN), f"settled{step}")
+        state = scratch.save(rest.applyInArrow(settled(step), _RUN), f"settled{step}")
         gaps = state.where("kind = 'g'")
         placed += [t.where("kind = 'p'").drop("kind") for t in (swept, state)]
     return reduce(DataFrame.unionByName, placed)
