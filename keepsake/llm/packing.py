@@ -17,7 +17,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +165,7 @@ def best_fit(lengths: DataFrame, scratch: Scratch, capacity: int = CAPACITY, par
     written, and the next range follows.
     """
     start = lengths.select(F.lit("d").alias("kind"), F.col("length").cast("int").alias("length"), F.lit(0).cast("long").alias("first"), F.col("n").alias("k"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("offset"))
-    gaps, placed = start.limit(0), []
+    gaps, written = start.limit(0), []
 
     def part_sweep(table: pa.Table) -> pa.Table:
         return _rows(*sweep(_runs(table, "d"), _runs(table, "g"), capacity))
@@ -190,8 +189,8 @@ def best_fit(lengths: DataFrame, scratch: Scratch, capacity: int = CAPACITY, par
         rest = swept.where("kind <> 'p'").withColumn("_all", F.lit(0)).groupBy("_all")
         state = scratch.save(rest.applyInArrow(settled(step), _RUN), f"settled{step}")
         gaps = state.where("kind = 'g'")
-        placed += [t.where("kind = 'p'").drop("kind") for t in (swept, state)]
-    return reduce(DataFrame.unionByName, placed)
+        written += [f"{scratch.root}/swept{step}", f"{scratch.root}/settled{step}"]
+    return lengths.sparkSession.read.schema(state.schema).parquet(*written).where("kind = 'p'").drop("kind")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch
@@ -90,8 +90,12 @@ def split(points: DataFrame, scratch: Scratch, name: str, overlap: int) -> DataF
     """(p, grp, vec) with every group larger than SHARD_MOST dealt to its members' ``overlap`` nearest centroids.
 
     A group's rows are dealt in salted parts, each of which gets the group's
-    centroids: no task needs the whole group.
+    centroids: no task needs the whole group. After each level a row keeps its
+    2 * ``overlap`` best places among all groups it was dealt to, so the copies
+    don't multiply with the levels.
     """
+    points = points.select("p", "grp", "vec", F.lit(1.0).alias("score"))
+    best = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "grp"))
     for level in range(LEVELS):
         sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_MOST)
         sizes = scratch.save(sizes.select(F.col("grp").alias("g"), "n", F.least(F.lit(CENTROIDS), F.ceil(F.col("n") / SHARD)).cast("int").alias("k"), F.ceil(F.col("n") / SHARD_MOST).cast("int").alias("salts")), f"{name}-sizes{level}")
@@ -107,21 +111,25 @@ def split(points: DataFrame, scratch: Scratch, name: str, overlap: int) -> DataF
 
         def nearest(own: pa.Table, given: pa.Table) -> pa.Table:
             if not len(own):
-                return pa.table({"p": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "vec": pa.array([], pa.binary())})
+                return pa.table({"p": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "vec": pa.array([], pa.binary()), "score": pa.array([], pa.float64())})
             group = own.column("g")[0].as_py()
             if not len(given):  # no centroid was drawn: the group stays one shard
-                return pa.table({"p": own.column("p"), "grp": own.column("g"), "vec": own.column("vec")})
+                return pa.table({"p": own.column("p"), "grp": own.column("g"), "vec": own.column("vec"), "score": pa.array(np.ones(len(own)))})
             c = np.unique(_matrix(given.column("vec")), axis=0)
             k = min(overlap, len(c))
-            best = np.argsort(-(_matrix(own.column("vec")) @ c.T), axis=1, kind="stable")[:, :k]
+            cosines = _matrix(own.column("vec")) @ c.T
+            best = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
             at = np.repeat(np.arange(len(own)), k)
             taken = own.select(["p", "vec"]).take(pa.array(at))
-            return pa.table({"p": taken.column("p"), "grp": pa.array([f"{group}/{j}" for j in best.ravel()], pa.string()), "vec": taken.column("vec")})
+            return pa.table({"p": taken.column("p"), "grp": pa.array([f"{group}/{j}" for j in best.ravel()], pa.string()), "vec": taken.column("vec"), "score": pa.array(np.take_along_axis(cosines, best, 1).ravel())})
 
-        dealt = rows.groupBy("g", "salt").cogroup(centres.groupBy("g", "salt")).applyInArrow(nearest, "p long, grp string, vec binary")
-        rest = points.join(sizes.select("g"), points["grp"] == sizes["g"], "left_anti").select("p", "grp", "vec")
-        points = scratch.save(dealt.unionByName(rest), f"{name}-level{level}")
-    return points
+        dealt = rows.groupBy("g", "salt").cogroup(centres.groupBy("g", "salt")).applyInArrow(nearest, "p long, grp string, vec binary, score double")
+        rest = points.join(sizes.select("g"), points["grp"] == sizes["g"], "left_anti").select("p", "grp", "vec", "score")
+        places = dealt.unionByName(rest)
+        if level and overlap > 1:
+            places = places.withColumn("_place", best).where(F.col("_place") <= 2 * overlap).drop("_place")
+        points = scratch.save(places, f"{name}-level{level}")
+    return points.select("p", "grp", "vec")
 
 
 def find_balls(x: np.ndarray, theta: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -146,19 +154,29 @@ def find_balls(x: np.ndarray, theta: float) -> list[tuple[np.ndarray, np.ndarray
             degree[left] -= (x[left] @ x[inside].T >= math.cos(theta)).sum(1)
 
 
-def prune(p: int, pool: np.ndarray, x: np.ndarray) -> list[int]:
-    """Robust pruning: take the nearest, drop what is nearer to it (by ALPHA) than to ``p``, repeat."""
-    pool = pool[pool != p]
-    d = np.sqrt(np.maximum(0, 2 - 2 * (x[pool] @ x[p])))
-    order = np.argsort(d, kind="stable")
-    pool, d = pool[order], d[order]
-    between = ALPHA * np.sqrt(np.maximum(0, 2 - 2 * (x[pool] @ x[pool].T)))
-    alive, kept = np.ones(len(pool), bool), []
-    while len(kept) < DEGREE and alive.any():
-        i = int(np.argmax(alive))
-        kept.append(int(pool[i]))
-        alive &= between[i] > d
-        alive[i] = False
+def prune(own: np.ndarray, pools: np.ndarray, x: np.ndarray) -> list[list[int]]:
+    """Robust pruning of each row's pool: take the nearest, drop what is nearer to it (by ALPHA) than to the row, repeat."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nkd,nd->nk", x[pools], x[own])))
+    alive = pools != own[:, None]
+    order = np.argsort(pools, axis=1, kind="stable")
+    ranked = np.take_along_axis(pools, order, 1)
+    twice = np.zeros_like(alive)
+    np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+    alive &= ~twice
+    order = np.argsort(d, axis=1, kind="stable")
+    pools, d, alive = (np.take_along_axis(v, order, 1) for v in (pools, d, alive))
+    y = x[pools]
+    between = ALPHA * np.sqrt(np.maximum(0, 2 - 2 * (y @ y.transpose(0, 2, 1))))
+    rows, kept = np.arange(len(own)), [[] for _ in own]
+    for _ in range(DEGREE):
+        i = alive.argmax(1)
+        found = alive[rows, i]
+        if not found.any():
+            break
+        for r in np.flatnonzero(found):
+            kept[r].append(int(pools[r, i[r]]))
+        alive &= between[rows, i] > d
+        alive[rows, i] = False
     return kept
 
 
@@ -168,47 +186,80 @@ def build(x: np.ndarray, seeds: np.ndarray) -> list[list[int]]:
     if n < 2:
         return [[] for _ in range(n)]
     others = (seeds[:, None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, OTHERS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+    others = (others % np.uint64(n)).astype(np.int64)
     out = []
-    for i in range(0, n, 512):
-        s = x[i : i + 512] @ x.T
+    for i in range(0, n, 256):
+        s = x[i : i + 256] @ x.T
         near = np.argpartition(-s, k, axis=1)[:, : k + 1] if k < n - 1 else np.tile(np.arange(n), (len(s), 1))
-        for j in range(len(s)):
-            out.append(prune(i + j, np.unique(np.r_[near[j], (others[i + j] % np.uint64(n)).astype(np.int64)]), x))
+        out += prune(np.arange(i, i + len(s)), np.hstack([near, others[i : i + 256]]), x)
     for p in range(n):
         for q in list(out[p]):
-            if p not in out[q] and len(out[q]) < 2 * DEGREE:
+            if len(out[q]) < 2 * DEGREE and p not in out[q]:
                 out[q].append(p)
     return out
 
 
-def search(q: int, x: np.ndarray, graph: list[np.ndarray], medoid: int, reach: float) -> np.ndarray:
-    """Rows with a cosine of at least ``reach`` to row ``q``, as far as the graph leads."""
-    seen = {medoid}
-    score = {medoid: float(x[medoid] @ x[q])}
-    beam, expanded = [medoid], set()
-    while True:
-        todo = next((v for v in beam if v not in expanded), None)
-        if todo is None:
-            break
-        expanded.add(todo)
-        new = [v for v in graph[todo].tolist() if v not in seen]
-        if not new:
-            continue
-        seen.update(new)
-        score.update(zip(new, (x[new] @ x[q]).tolist()))
-        beam = sorted(beam + new, key=score.__getitem__, reverse=True)[:BEAM]
-    found = {v for v, s in score.items() if s >= reach}
-    edge = [v for v in found if v not in expanded]
-    while edge:  # range expansion
-        new = list({w for v in edge for w in graph[v].tolist() if w not in seen})
-        seen.update(new)
-        if not new:
-            break
-        s = x[new] @ x[q]
-        edge = [v for v, c in zip(new, s.tolist()) if c >= reach]
-        found.update(edge)
-    found.discard(q)
-    return np.array(sorted(found), np.int64)
+def search(x: np.ndarray, graph: list[np.ndarray], medoid: int, reach: np.ndarray, together: int = 512) -> np.ndarray:
+    """Pairs (2 x n, each once, lower row first) found by searching for every row ``q``: what has a cosine of ``reach[q]`` to it, as far as the graph leads.
+
+    Many rows are searched for at once. Each has a beam of its BEAM best rows
+    seen; its best row not yet expanded is next, until none is left in the beam;
+    then the range is expanded from all rows within reach. Cosines are single
+    precision with some slack: pairs are verified by the caller.
+    """
+    n, slack = len(x), 1e-5
+    near = np.full((n + 1, max(1, *map(len, graph))), n, np.int32)  # row n is none
+    for i, a in enumerate(graph):
+        near[i, : len(a)] = a
+    y = np.vstack([x, np.zeros((1, x.shape[1]))]).astype(np.float32)
+    low = reach - slack
+    pairs = []
+    for at in range(0, n, together):
+        own = np.arange(at, min(n, at + together))
+        m = len(own)
+        seen, opened = np.zeros((m, n + 1), bool), np.zeros((m, n + 1), bool)
+        seen[:, n] = seen[:, medoid] = True
+        beam, score, done = np.full((m, BEAM), n, np.int32), np.full((m, BEAM), -2, np.float32), np.ones((m, BEAM), bool)
+        beam[:, 0], score[:, 0], done[:, 0] = medoid, y[own] @ y[medoid], False
+        live, found = np.arange(m), [(np.arange(m), beam[:, 0].copy(), score[:, 0].copy())]
+        while True:
+            best = np.where(done[live], -3, score[live]).argmax(1)
+            more = ~done[live, best]
+            live, best = live[more], best[more]
+            if not len(live):
+                break
+            node = beam[live, best]
+            done[live, best] = opened[live, node] = True
+            new = near[node]
+            row, column = np.nonzero(~seen[live[:, None], new])
+            r, v = live[row], new[row, column]
+            seen[r, v] = True
+            cosine = np.einsum("ij,ij->i", y[v], y[own[r]])
+            found.append((r, v, cosine))
+            there = np.full(new.shape, -2, np.float32)
+            there[row, column] = cosine
+            scores, nodes = np.hstack([score[live], there]), np.hstack([beam[live], new])
+            closed = np.hstack([done[live], there < -1.5])
+            top = np.argpartition(-scores, BEAM - 1, axis=1)[:, :BEAM]
+            beam[live], score[live], done[live] = (np.take_along_axis(v, top, 1) for v in (nodes, scores, closed))
+        r, v, cosine = (np.concatenate(c) for c in zip(*found))
+        hit = cosine >= low[own[r]]
+        r, v = r[hit], v[hit]
+        hits = [(r, v)]
+        while len(r):  # range expansion
+            fresh = ~opened[r, v]
+            r, v = r[fresh], v[fresh]
+            opened[r, v] = True
+            r, v = np.repeat(r, near.shape[1]), near[v].ravel()
+            fresh = ~seen[r, v]
+            r, v = np.divmod(np.unique(r[fresh] * np.int64(n + 1) + v[fresh]), n + 1)
+            seen[r, v] = True
+            hit = np.einsum("ij,ij->i", y[v], y[own[r]]) >= low[own[r]]
+            r, v = r[hit], v[hit]
+            hits.append((r, v))
+        pairs.append(np.stack([own[np.concatenate([h[0] for h in hits])], np.concatenate([h[1] for h in hits])]))
+    both = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
+    return np.unique(np.sort(both[:, both[0] != both[1]], 0), axis=1)
 
 
 def _graph_pairs(units: DataFrame, scratch: Scratch, theta: float, overlap: int) -> DataFrame:
@@ -237,19 +288,12 @@ def _graph_pairs(units: DataFrame, scratch: Scratch, theta: float, overlap: int)
         mean = x.mean(0)
         medoid = int(np.argmax(x @ mean))
         widest = float(radius.max())
-        pairs = set()
-        for q in range(len(ids)):
-            hits = search(q, x, graph, medoid, math.cos(min(math.pi, theta + float(radius[q]) + widest + 1e-9)))
-            pairs.update((min(q, int(v)), max(q, int(v))) for v in hits)
-        u, v, c = [], [], []
-        for i, j in sorted(pairs):
-            if min(homes[i] & homes[j]) != own:
-                continue  # another shard that holds both counts this pair
-            cosine = float(x[i] @ x[j])
-            if (cosine >= math.cos(theta)) if radius[i] == radius[j] == 0 else (float(_angle(np.array(cosine))) <= theta + radius[i] + radius[j] + MARGIN):
-                u.append(int(ids[i]))
-                v.append(int(ids[j]))
-                c.append(cosine)
+        i, j = search(x, graph, medoid, np.cos(np.minimum(math.pi, theta + radius + widest + 1e-9)))
+        cosine = np.einsum("ij,ij->i", x[i], x[j])
+        near = np.where((radius[i] == 0) & (radius[j] == 0), cosine >= math.cos(theta), _angle(cosine) <= theta + radius[i] + radius[j] + MARGIN)
+        # of the shards that hold both units, the first counts the pair
+        near &= np.array([min(homes[a] & homes[b]) == own for a, b in zip(i.tolist(), j.tolist())], bool)
+        u, v, c = ids[i[near]], ids[j[near]], cosine[near]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
     return scratch.save(rows.groupBy("grp").applyInArrow(ranges, "u long, v long, cosine double"), f"{tag}-pairs")
@@ -273,7 +317,14 @@ def _counted(pairs: DataFrame, units: DataFrame, members: DataFrame, scratch: Sc
         return counts, edges
     named = open_pairs.withColumn("pair", F.xxhash64("u", "v"))
     sides = named.select("pair", F.col("u").alias("unit"), F.lit(0).alias("side"), "u", "v").unionByName(named.select("pair", F.col("v").alias("unit"), F.lit(1).alias("side"), "u", "v"))
+    # of large balls, each two blocks of members meet in a task of their own
+    size = members.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / SHARD_MOST).cast("int").alias("blocks"))
+    sides = sides.join(size.select(F.col("unit").alias("u"), F.col("blocks").alias("left")), "u").join(size.select(F.col("unit").alias("v"), F.col("blocks").alias("right")), "v")
     rows = sides.join(members.select("unit", "cls", "w", "vec"), "unit")
+    block = F.pmod(F.xxhash64("cls", F.lit(13)), F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).cast("int")
+    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1)))
+    first = F.col("side") == 0
+    rows = rows.select("pair", F.when(first, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "u", "v", "cls", "w", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -286,7 +337,7 @@ def _counted(pairs: DataFrame, units: DataFrame, members: DataFrame, scratch: Sc
         linked = np.array([bool(hit.any())] + [False] * (len(keep) - 1)) if len(keep) else np.array([], bool)
         return pa.table({"cls": pa.array(cls[keep], pa.int64()), "more": pa.array(more[keep], pa.int64()), "a": pa.array(np.full(len(keep), table.column("u")[0].as_py()), pa.int64()), "b": pa.array(np.full(len(keep), table.column("v")[0].as_py()), pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
-    looked = scratch.save(rows.groupBy("pair").applyInArrow(compare, "cls long, more long, a long, b long, linked boolean"), f"{tag}-looked")
+    looked = scratch.save(rows.groupBy("pair", "i", "j").applyInArrow(compare, "cls long, more long, a long, b long, linked boolean"), f"{tag}-looked")
     return counts.unionByName(looked.select("cls", "more")), edges.unionByName(looked.where("linked").select("a", "b"))
 
 

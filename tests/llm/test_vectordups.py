@@ -93,9 +93,40 @@ def test_a_dense_ball_does_not_hide_lost_links(spark, monkeypatch):
 
 def test_labels_are_judged_apart_and_unmeasured_ones_compared_whole(spark, monkeypatch):
     """No search finds anything here: links come from the comparison of blocks alone."""
-    monkeypatch.setattr(V, "search", lambda *a: np.array([], np.int64))
+    monkeypatch.setattr(V, "search", lambda *a: np.empty((2, 0), np.int64))
     rng = np.random.default_rng(6)
     x = [rng.normal(size=16) for _ in range(60)]
     x += [x[i] + rng.normal(size=16) * 0.02 for i in range(60)]
     rows = [(i * (100 if i % 2 else 1) + 7 * (i % 2 == 0), [float(a) for a in v], i % 2) for i, v in enumerate(x)]
     assert run(spark, rows)[0] == brute(rows)
+
+
+def test_planted_links_at_several_levels_of_splitting(spark, monkeypatch):
+    """Copies of a row stay within the overlap at any depth, and planted links are found."""
+    for name, value in (("SHARD", 60), ("SHARD_MOST", 120), ("CENTROIDS", 6)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 48))
+    x = np.vstack([x, x + rng.normal(size=x.shape) * 0.25])
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
+    points = spark.createDataFrame([(i, "1", np.ascontiguousarray(v / np.linalg.norm(v)).tobytes()) for i, v in enumerate(x)], "p long, grp string, vec binary")
+    places = V.split(points, V.Scratch(spark), "t", 2).toPandas()
+    assert places["grp"].str.count("/").max() >= 2 and places.groupby("p").size().between(2, 4).all()
+    got, recall = run(spark, rows)
+    want = brute(rows)
+    assert recall >= 0.98
+    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want) > 0 and all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+def test_pruned_neighbours_keep_the_rule():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pools = rng.integers(0, 80, size=(80, 30))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for p, kept in enumerate(V.prune(np.arange(80), pools, x)):
+        want, left = [], sorted({int(q) for q in pools[p]} - {p}, key=lambda q: d[p, q])
+        while left and len(want) < V.DEGREE:
+            want.append(left.pop(0))
+            left = [q for q in left if V.ALPHA * d[want[-1], q] > d[p, q]]
+        assert kept == want
