@@ -1,33 +1,41 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see different views of a document: hashed words and
-whole-text ratios on one side, page metadata on the other. Over a few rounds each
-labels the documents of an unlabelled pool that it is surest of, for the other to
-learn from. Both are then calibrated on held-out labels and their log-odds added
-(less the prior, which each of them holds) to score every document.
+whole-text ratios on one side, page metadata on the other. Each round scores all
+documents that are not fitted on yet, on the executors; each view hands the other
+its surest ones, by rank within each class, as far down as its held-out labels
+bear it out. Both are then calibrated on the held-out labels and their log-odds
+added (less the prior, which each of them holds) to score every document.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_prefix, slices, worker_cache
+from .common import Scratch, free_prefix, slices, worker_cache
 from .rules import labelled
 from .textstats import COUNTS, counts
 
-#: Rows fitted on at most: labelled ones, and ones of the unlabelled pool.
-LABELLED_ROWS, POOL_ROWS = 5_000, 3_000
+#: Labelled rows fitted on at most; the unlabelled pool is all other rows.
+LABELLED_ROWS = 5_000
 WORD_SLOTS, META_SLOTS, RATIOS = 2048, 256, 9
 CACHE_WORDS = 300_000
-ROUNDS, PER_ROUND, SURE = 4, 150, 0.95
+#: Rounds, and labels that a view hands over in one, at most (shared between the classes as the labels are).
+ROUNDS, PER_ROUND = 4, 150
+#: Least held-out precision of what a view hands over; for a class more frequent than that, half way from its share to 1.
+SURE = 0.9
 
 
 class _Slots(dict):
@@ -57,12 +65,21 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
 
 
 def meta_view(values: list) -> list[int]:
-    """Slots of the metadata: strings as they are, numbers by their power of two; null is a value."""
-    slots = []
-    for i, v in enumerate(values):
-        known = "-" if v is None else v if isinstance(v, str) else str(int(abs(v)).bit_length())
-        slots.append(zlib.crc32(f"{i}={known}".encode()) % META_SLOTS)
-    return slots
+    """Slots of the metadata, one a value and one for all together.
+
+    Strings as they are (of a URL its host), finite numbers by their power of
+    two, everything else (null, NaN, infinite, dates, nested values) by how it is
+    written.
+    """
+    known = []
+    for v in values:
+        if isinstance(v, str):
+            known.append(v.split("://", 1)[1].split("/", 1)[0].lower() if "://" in v else v)
+        elif isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) and math.isfinite(v):
+            known.append(f"{'-' * (v < 0)}{int(abs(v)).bit_length()}")
+        else:
+            known.append("-" if v is None else repr(v))
+    return [zlib.crc32(f"{i}={v}".encode("utf-8", "replace")) % META_SLOTS for i, v in enumerate([*known, "|".join(known)])]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, l2: float = 1e-3, steps: int = 250) -> np.ndarray:
@@ -122,6 +139,7 @@ class CoTrained:
     c_text: tuple[float, float] = (1.0, 0.0)
     c_meta: tuple[float, float] = (1.0, 0.0)
     prior: float = 0.0
+    handed: list[dict[tuple[str, int], int]] = field(default_factory=list)
 
     def log_odds(self, text: str | None, meta: list) -> tuple[float, float, float]:
         at, value, ratios = text_view(text)
@@ -131,69 +149,183 @@ class CoTrained:
         return s, m, s + m - self.prior
 
 
-def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, held: np.ndarray, meta: list[str]) -> CoTrained:
-    """``y``: 1, 0, or -1 in the pool; ``held``: labelled rows used for calibration only."""
+@dataclass
+class Rows:
+    """What both views see of some rows; ``y``: 1 or 0; ``held``: used for calibration and precision only."""
+
+    x: np.ndarray
+    m: np.ndarray
+    y: np.ndarray
+    held: np.ndarray
+
+    @staticmethod
+    def of(frame: pd.DataFrame) -> Rows:
+        frame = frame.sort_values(["hash", "label", "fold"], ignore_index=True)  # the order of rows decides nothing
+        x = np.zeros((len(frame), WORD_SLOTS + RATIOS), np.float32)
+        m = np.zeros((len(frame), META_SLOTS), np.float32)
+        for i, r in enumerate(frame.itertuples()):
+            x[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.value, "<f4")
+            x[i, WORD_SLOTS:] = np.frombuffer(r.ratios, "<f4")
+            np.add.at(m[i], np.frombuffer(r.meta, "<u2"), 1)
+        return Rows(x, m, frame["label"].to_numpy(int), frame["fold"].to_numpy(int) == 0)
+
+    def views(self) -> dict[str, np.ndarray]:
+        return {"text": self.x, "meta": self.m}
+
+
+def sure_from(score: np.ndarray, y: np.ndarray, label: int) -> float:
+    """The score from which on held-out rows have ``label`` precisely enough (of the largest such set); infinite if there is none."""
+    order = np.argsort(-score, kind="stable")
+    hits, n = np.cumsum(y[order] == label), np.arange(1, len(y) + 1)
+    least = max(SURE, (1 + (y == label).mean()) / 2) if len(y) else 1.0
+    last = np.r_[score[order][1:] < score[order][:-1], True] if len(y) else np.array([], bool)  # not within ties
+    good = np.flatnonzero(((hits + 1) / (n + 2) >= least) & last)
+    return float(score[order][good[-1]]) if len(good) else math.inf
+
+
+_FEATURES = ["hash", "at", "value", "ratios", "meta"]
+_FEATURE_TYPES = "hash long, at binary, value binary, ratios binary, meta binary"
+
+
+def view_rows(rows: DataFrame, n: int, extra: list[str]) -> DataFrame:
+    """The ``extra`` columns and both views, packed, of rows (text, m0, m1, ..., extra). One pass over the texts."""
+    schema = T.StructType([*[rows.schema[c] for c in extra], *T._parse_datatype_string(_FEATURE_TYPES).fields])
+
+    def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [text_view(t) for t in batch.column("text").to_pylist()]
+            metas = zip(*[batch.column(f"m{i}").to_pylist() for i in range(n)]) if n else [()] * batch.num_rows
+            packed = [(a.astype("<u2").tobytes(), v.astype("<f4").tobytes(), np.array(r, "<f4").tobytes(), np.array(meta_view(list(m)), "<u2").tobytes()) for (a, v, r), m in zip(out, metas)]
+            hashes = [xxhash.xxh3_64_intdigest(b"|".join(f)) - 2**63 for f in packed]
+            columns = [pa.array(c, pa.binary()) for c in zip(*packed)] if packed else [pa.array([], pa.binary())] * 4
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(hashes, pa.int64()), *columns], schema.names)
+
+    return rows.mapInArrow(view, schema)
+
+
+def surest(pool: DataFrame, w: dict[str, np.ndarray], least: dict[tuple[str, int], float], most: dict[int, int], known: dict[str, set[int]]) -> pd.DataFrame:
+    """(view, label, features): of all rows of the pool, each view's ``most[label]`` surest of each class.
+
+    Rows are scored in batches on the executors, every task keeps its own best,
+    and those are ranked once more; equal rows count as one. At most four times
+    PER_ROUND rows reach the driver, whatever the size of the pool.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((w, least, most, known))  # weights, and PER_ROUND hashes a round
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, least, most, known = shared.value
+        kept: dict[tuple[str, int], list[tuple[float, int, tuple]]] = {k: [] for k in least}
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy()
+            ats, values = batch.column("at").to_pylist(), batch.column("value").to_pylist()
+            size = np.array([len(a) // 2 for a in ats], np.int64)
+            owner = np.repeat(np.arange(len(ats)), size)
+            terms = w["text"][np.frombuffer(b"".join(ats), "<u2")] * np.frombuffer(b"".join(values), "<f4")
+            ratios = np.frombuffer(b"".join(batch.column("ratios").to_pylist()), "<f4").reshape(len(ats), RATIOS)
+            metas = np.frombuffer(b"".join(batch.column("meta").to_pylist()), "<u2").reshape(len(ats), -1)
+            z = {"text": np.bincount(owner, terms, len(ats)) + ratios @ w["text"][WORD_SLOTS:-1] + w["text"][-1], "meta": w["meta"][metas].sum(1) + w["meta"][-1]}
+            for (view, label), cut in least.items():
+                sign = z[view] if label else -z[view]
+                at = np.flatnonzero(sign >= cut)
+                at = at[np.lexsort((hashes[at], -sign[at]))]
+                have = {h for _, h, _ in kept[view, label]}
+                for i in at.tolist():
+                    h = int(hashes[i])
+                    if h in have or h in known[view]:
+                        continue
+                    if len(have) >= 2 * most[label]:
+                        break
+                    have.add(h)
+                    kept[view, label].append((-float(sign[i]), h, tuple(batch.column(c)[i].as_py() for c in _FEATURES)))
+                kept[view, label] = sorted(kept[view, label])[: most[label]]
+        rows = [(view, label, -s, *f) for (view, label), found in kept.items() for s, _, f in found]
+        if rows:
+            c = list(zip(*rows))
+            types = [pa.string(), pa.int32(), pa.float64(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types)], ["view", "label", "sure", *_FEATURES])
+
+    found = pool.mapInArrow(best, f"view string, label int, sure double, {_FEATURE_TYPES}").dropDuplicates(["view", "label", "hash"])
+    salt = F.pmod(F.xxhash64("hash"), F.lit(32))
+    order = [F.desc("sure"), "hash"]
+    limit = F.create_map(*[F.lit(x) for k, v in most.items() for x in (k, v)])[F.col("label")]
+    part = found.withColumn("_n", F.row_number().over(Window.partitionBy("view", "label", salt).orderBy(*order))).where(F.col("_n") <= limit)
+    top = part.withColumn("_n", F.row_number().over(Window.partitionBy("view", "label").orderBy(*order))).where(F.col("_n") <= limit)
+    out = top.drop("_n", "sure").toPandas()
+    shared.unpersist()
+    return out
+
+
+def _score(view: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return view @ w[:-1].astype(view.dtype) + w[-1]
+
+
+def calibrated(model: CoTrained, rows: Rows, check: np.ndarray, w: dict[str, np.ndarray]) -> None:
+    """Sets the model's weights, and its calibration by the ``check`` rows."""
+    y = rows.y[check]
+    model.w_text, model.w_meta = w["text"], w["meta"]
+    model.c_text, model.c_meta = platt(_score(rows.x[check], w["text"]), y), platt(_score(rows.m[check], w["meta"]), y)
+    model.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+
+
+def cotrain(rows: Rows, pool: Callable[..., pd.DataFrame] | None, meta: list[str], rounds: int = ROUNDS) -> CoTrained:
+    """Fits both views; ``pool`` is ``surest`` with its table. ``handed`` of the result counts (from view, label) by round.
+
+    The weights are those of the round with the least held-out loss of both views together.
+    """
     model = CoTrained(meta)
-    seed = (y >= 0) & ~held
-    if len(set(y[seed].tolist())) < 2:
+    seed = ~rows.held
+    if len(set(rows.y[seed].tolist())) < 2:
         return model
-    known = {"text": y.copy(), "meta": y.copy()}
-    for k in ("text", "meta"):
-        known[k][held] = -1
-    views = {"text": x, "meta": m}
-    share, w = float(y[seed].mean()), {}
-    for r in range(ROUNDS + 1):
-        w = {k: logistic(v[known[k] >= 0], known[k][known[k] >= 0], w.get(k)) for k, v in views.items()}
-        if r == ROUNDS:
+    views = rows.views()
+    fitted = {k: ([v[seed]], [rows.y[seed]]) for k, v in views.items()}
+    check = rows.held if len(set(rows.y[rows.held].tolist())) == 2 else seed
+    share = float(rows.y[seed].mean())
+    most = {1: max(1, round(PER_ROUND * share)), 0: max(1, round(PER_ROUND * (1 - share)))}
+    known: dict[str, set[int]] = {"text": set(), "meta": set()}
+    w: dict[str, np.ndarray] = {}
+    least_loss = math.inf
+    for r in range(rounds + 1):
+        w = {k: logistic(np.vstack(x), np.concatenate(y), w.get(k)) for k, (x, y) in fitted.items()}
+        calibrated(model, rows, check, w)
+        z = model.c_text[0] * _score(rows.x[check], w["text"]) + model.c_text[1] + model.c_meta[0] * _score(rows.m[check], w["meta"]) + model.c_meta[1] - model.prior
+        loss = float((np.logaddexp(0, z) - rows.y[check] * z).mean())
+        if loss <= least_loss:  # a round that the held-out labels speak against is not kept
+            least_loss, best = loss, w
+        if r == rounds or pool is None:
             break
+        least = {(k, c): sure_from(_score(v[check], w[k]) * (1 if c else -1), rows.y[check], c) for k, v in views.items() for c in (1, 0)}
+        least = {k: v for k, v in least.items() if v < math.inf}
+        got = pool(w, least, most, known) if least else pd.DataFrame(columns=["view", "label", *_FEATURES])
+        model.handed.append({k: int(((got["view"] == k[0]) & (got["label"] == k[1])).sum()) for k in sorted(least)})
         for k, other in (("text", "meta"), ("meta", "text")):
-            free = np.flatnonzero((known[other] < 0) & ~held & (y < 0))
-            if not len(free):
-                continue
-            p = 1 / (1 + np.exp(-np.clip(views[k][free] @ w[k][:-1] + w[k][-1], -30, 30)))
-            for label, sure, most in ((1, p, round(PER_ROUND * share)), (0, 1 - p, round(PER_ROUND * (1 - share)))):
-                best = np.argsort(-sure, kind="stable")[:most]
-                known[other][free[best[sure[best] >= SURE]]] = label
-    model.w_text, model.w_meta = w["text"], w["meta"]
-    check = held & (y >= 0) if len(set(y[held & (y >= 0)].tolist())) == 2 else seed
-    model.c_text = platt(x[check] @ w["text"][:-1] + w["text"][-1], y[check])
-    model.c_meta = platt(m[check] @ w["meta"][:-1] + w["meta"][-1], y[check])
-    model.prior = float(np.log((y[check].sum() + 1) / (len(y[check]) - y[check].sum() + 1)))
+            mine = got[got["view"] == k]
+            if len(mine):
+                known[k] |= set(mine["hash"].tolist())
+                new = Rows.of(mine.assign(fold=1))
+                fitted[other][0].append(new.views()[other])
+                fitted[other][1].append(new.y)
+        if got.empty:
+            break
+    calibrated(model, rows, check, best)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, meta: list[str], text: str = "text", key: str = "doc_id", label: str = "quality") -> CoTrained:
-    """Fits on at most LABELLED_ROWS labelled rows and POOL_ROWS others, chosen by hash of the key."""
-    some = labelled(labels, key, label, LABELLED_ROWS)
-    pool = docs.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).join(F.broadcast(some.select("_key")), "_key", "left_anti")
-    pool = pool.distinct().orderBy(F.xxhash64("_key", F.lit(3)), "_key").limit(POOL_ROWS)
-    ids = some.unionByName(pool.withColumn("_label", F.lit(-1)))  # at most LABELLED_ROWS + POOL_ROWS rows
-    rows = docs.join(F.broadcast(ids), docs[key] == ids["_key"]).select(
-        F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(5)).alias("fold"), F.col("_label").alias("label"), docs[text].alias("text"), *[docs[c].alias(f"m{i}") for i, c in enumerate(meta)]
-    )
-    n = len(meta)
+def fit(docs: DataFrame, labels: DataFrame, meta: list[str], text: str = "text", key: str = "doc_id", label: str = "quality", rounds: int = ROUNDS) -> CoTrained:
+    """Fits on at most LABELLED_ROWS labelled rows, chosen by hash of the key, and on what the views hand over of all other rows.
 
-    def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = [text_view(t) for t in batch.column("text").to_pylist()]
-            slots = [meta_view(list(v)) for v in zip(*[batch.column(f"m{i}").to_pylist() for i in range(n)])]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("fold").cast(pa.int32()), batch.column("label"),
-                pa.array([a.astype("<u2").tobytes() for a, _, _ in out], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v, _ in out], pa.binary()),
-                pa.array([np.array(r, "<f4").tobytes() for _, _, r in out], pa.binary()), pa.array([np.array(s, "<u2").tobytes() for s in slots], pa.binary()),
-            ], ["fold", "label", "at", "value", "ratios", "meta"])
-
-    got = rows.mapInArrow(view, "fold int, label int, at binary, value binary, ratios binary, meta binary")
-    found = got.limit(2 * (LABELLED_ROWS + POOL_ROWS)).toPandas()  # repeated keys may add rows
-    found = found.sort_values(list(found.columns), ignore_index=True)
-    x = np.zeros((len(found), WORD_SLOTS + RATIOS), np.float32)
-    m = np.zeros((len(found), META_SLOTS), np.float32)
-    for i, r in enumerate(found.itertuples()):
-        x[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.value, "<f4")
-        x[i, WORD_SLOTS:] = np.frombuffer(r.ratios, "<f4")
-        np.add.at(m[i], np.frombuffer(r.meta, "<u2"), 1)
-    y = found["label"].to_numpy(int)
-    return cotrain(x, m, y, (found["fold"].to_numpy() == 0) & (y >= 0), meta)
+    Rows that repeat a labelled key are labelled alike; null keys are never
+    labelled. Metadata may be of any type.
+    """
+    scratch = Scratch(docs.sparkSession)
+    some = labelled(labels, key, label, LABELLED_ROWS)
+    rows = docs.select(docs[key].alias("_id"), docs[text].alias("text"), *[docs[c].alias(f"m{i}") for i, c in enumerate(meta)])
+    fold = F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(5)).cast("int")
+    marked = rows.join(F.broadcast(some), F.col("_id") == F.col("_key"), "left").withColumn("fold", fold).withColumn("label", F.col("_label").cast("int"))
+    seen = scratch.save(view_rows(marked.drop("_id", "_key", "_label"), len(meta), ["fold", "label"]), "views")
+    # one row for each different one that is labelled
+    own = seen.where("label is not null").dropDuplicates().orderBy("hash").limit(2 * LABELLED_ROWS).toPandas()
+    pool = seen.where("label is null")
+    return cotrain(Rows.of(own), lambda *a: surest(pool, *a), meta, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:

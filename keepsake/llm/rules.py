@@ -90,10 +90,15 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], longest: int) -> lis
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], hold_out: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16) -> list[list[Test]]:
-    """Ordered rules for ``bad`` rows; ``hold_out`` marks the rows used for pruning."""
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], hold_out: np.ndarray, precision: float = 0.9, longest: int = 4) -> list[list[Test]]:
+    """Ordered rules for ``bad`` rows; ``hold_out`` marks the rows used for pruning.
+
+    A rule has ``longest`` thresholds at most, so that it can be read. Covering
+    ends when the next rule would be less precise than ``precision``, or when
+    fewer than three bad rows are left to grow it on.
+    """
     left, rules = np.ones(len(x), bool), []
-    while len(rules) < most:
+    while True:
         grow, prune = left & ~hold_out, left & hold_out
         if bad[grow].sum() < 3:
             break
