@@ -2,24 +2,33 @@
 
 Token counts are summed per cell (source x language x topic). The cells' weights
 are raked to the target share of each source, then language, then topic, and
-again, until the shares hold. A document's probability is its cell's raked
-weight over its tokens, scaled so that the most wanted cell is kept whole.
+again, until all shares hold. A document's probability is its cell's raked weight
+over its tokens, on one scale for all cells; the scale lets at most CLIPPED of the
+weight reach past probability 1, so that a rare cell doesn't set it.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, free_prefix
 
-#: Cells up to this number are raked in one partition, without exchanges.
-ONE_PARTITION_CELLS = 100_000
-#: Exponents of the natural shares in the default targets: below 1 flattens them.
-#: They are mild because no document is repeated: the flatter the targets, the fewer documents stay.
-TEMPER, TOPIC_TEMPER = 0.9, 1.0
+#: Exponents of the natural shares in the default targets: 1 leaves them, 0 makes all values alike. Some topics are so
+#: rare that a stronger one would keep little of the rest.
+TEMPER, TOPIC_TEMPER = 0.6, 0.9
+#: Share of the raked weight that may lie in cells whose probability would be above 1.
+CLIPPED = 0.02
+#: Raking ends when all shares are this close to the targets, or with an error after so many rounds.
+CLOSE, ROUNDS = 1e-5, 40
+
+
+class RakingError(ValueError):
+    """No weights meet the targets, or not within the rounds."""
 
 
 def tokens(text: Column) -> Column:
@@ -28,16 +37,17 @@ def tokens(text: Column) -> Column:
 
 
 def topic(text: Column) -> Column:
-    """What kind of text it is, from counts of a few marks in the whole text."""
-    size = F.coalesce(F.octet_length(text), F.lit(0))
-    share = lambda mark: size - F.coalesce(F.octet_length(F.replace(text, F.lit(mark), F.lit(""))), F.lit(0))
+    """What kind of text it is, by its make-up: shares of character classes, and lines, of the whole text."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    count = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    lines = count("\\n") + 1
     return (
         F.when(size == 0, "empty")
-        .when(share("|") * 100 > size * 2, "table")
-        .when((share("%") + share("$")) * 100 > size * 2, "symbols")
-        .when(share("!") * 100 > size * 2, "exclaimed")
-        .when(share("\n") * 200 > size, "lines")
-        .when(size > 10_000, "long")
+        .when(count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]") * 50 > size, "marked up")
+        .when(count(r"\p{N}") * 10 > size, "figures")
+        .when((lines > 4) & (size < lines * 60), "short lines")
+        .when(size > 10_000, "long form")
+        .when(size < 500, "short form")
         .otherwise("prose")
     )
 
@@ -49,33 +59,57 @@ def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
     return sums.withColumn("_share", F.col("_share") / F.lit(total))
 
 
-def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int = 24, step: int = 6, close: float = 1e-9) -> DataFrame:
-    """Cells with ``_weight``, whose shares by each dimension meet the targets.
+def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE, strict: bool = True) -> tuple[DataFrame, float]:
+    """(cells with ``_weight``, the residual): the shares by each dimension meet the targets up to the residual.
 
-    Every value's weights are scaled by target over actual share, dimension by
-    dimension. Each ``step`` rounds are one plan and one written table. A target
-    without tokens is left out, and the rest share its part.
+    The weights are the cells' token shares times one factor for each value of
+    each dimension. A step sums the cells by one dimension, pre-aggregated before
+    the shuffle, and sets that dimension's factors; after each round the factors,
+    one row a value, are written, so no plan grows and no window holds the cells of
+    a value. Values are told apart by how they are written as strings.
+    Values without tokens or without a target weigh nothing; the rest of a
+    dimension's targets share their part. Targets that no weights meet are a
+    RakingError, or with ``strict=False`` are met as far as the last round does.
     """
     scratch = Scratch(cells.sparkSession)
     total = cells.agg(F.sum("_tokens")).first()[0] or 1
-    for d in dims:
-        t = targets[d].select(F.col(d).alias("_value"), F.col("_share").alias(f"_to_{d}"))
-        cells = cells.join(t, cells[d].eqNullSafe(t["_value"]), "left").drop("_value").fillna(0.0, [f"_to_{d}"])
-    small = cells.count() <= ONE_PARTITION_CELLS
-    now = cells.withColumn("_weight", F.col("_tokens") / F.lit(total))
-    now = scratch.save(now.coalesce(1) if small else now, "start")
-    for done in range(0, rounds, step):
-        now = now.coalesce(1) if small else now
-        for _ in range(step):
-            for d in dims:
-                held = F.sum("_weight").over(Window.partitionBy(d))
-                now = now.withColumn("_weight", F.when(held > 0, F.col("_weight") * F.col(f"_to_{d}") / held).otherwise(F.lit(0.0)))
-        now = scratch.save(now, f"rounds{done}")
-        first = dims[0]  # the dimension that was raked longest ago is the furthest off
-        off = now.groupBy(first).agg(F.abs(F.sum("_weight") - F.max(f"_to_{first}")).alias("_off")).agg(F.max("_off")).first()[0]
-        if off is None or off < close:
+    at = range(len(dims))
+    named = cells.select("*", *[F.col(d).cast("string").alias(f"_v{i}") for i, d in enumerate(dims)], (F.col("_tokens") / F.lit(total)).alias("_natural"))
+    named = scratch.save(named, "shares")
+    start = []
+    for i, d in enumerate(dims):
+        given = targets[d].select(F.col(d).cast("string").alias("_of"), F.col("_share").cast("double").alias("_to"))
+        held = named.groupBy(F.col(f"_v{i}").alias("value")).agg(F.lit(1.0).alias("f"))
+        start.append(held.join(given, F.col("value").eqNullSafe(F.col("_of")), "left").select(F.lit(i).alias("dim"), "value", "f", F.coalesce("_to", F.lit(0.0)).alias("to"), F.lit(0.0).alias("off")))
+    factors = scratch.save(reduce(DataFrame.unionByName, start), "factors")
+    sums = {r["dim"]: r for r in factors.groupBy("dim").agg(F.sum("to").alias("to"), F.count(F.lit(1)).alias("n")).collect()}
+    small = {i: i not in sums or sums[i]["n"] <= BROADCAST_ROWS // 10 for i in at}
+    whole = F.lit(1.0)
+    for i in sums:
+        whole = F.when(F.col("dim") == i, F.lit(sums[i]["to"] or 1.0)).otherwise(whole)
+    factors = factors.withColumn("to", F.col("to") / whole)
+
+    def weighed(tables: list[DataFrame]) -> DataFrame:
+        out = named.withColumn("_weight", F.col("_natural"))
+        for i in at:
+            f = tables[i].select(F.col("value").alias("_of"), F.col("f").alias("_f"))
+            out = out.join(F.broadcast(f) if small[i] else f, F.col(f"_v{i}").eqNullSafe(F.col("_of"))).withColumn("_weight", F.col("_weight") * F.col("_f")).drop("_of", "_f")
+        return out
+
+    residual = math.inf
+    for r in range(rounds):
+        tables = [factors.where(F.col("dim") == i) for i in at]
+        for i in at:
+            now = weighed(tables).groupBy(F.col(f"_v{i}").alias("_now")).agg(F.sum("_weight").alias("_held"))
+            set_to = F.when(F.col("_held") > 0, F.col("f") * F.col("to") / F.col("_held")).otherwise(F.lit(0.0))
+            tables[i] = tables[i].join(F.broadcast(now) if small[i] else now, F.col("value").eqNullSafe(F.col("_now"))).select("dim", "value", set_to.alias("f"), "to", F.abs(F.col("_held") - F.col("to")).alias("off"))
+        factors = scratch.save(reduce(DataFrame.unionByName, tables), f"factors{r}")
+        residual = factors.agg(F.max("off")).first()[0] or 0.0  # of the shares before the round's own steps
+        if residual < close:
             break
-    return now.drop(*[f"_to_{d}" for d in dims])
+    if residual >= close and strict:
+        raise RakingError(f"after {rounds} rounds a share is still {residual:.2g} off its target")
+    return weighed([factors.where(F.col("dim") == i) for i in at]).drop("_natural", *[f"_v{i}" for i in at]), residual
 
 
 def uniform(key: str, seed: int) -> Column:
@@ -89,7 +123,9 @@ def mix(docs: DataFrame, dims: list[str] | None = None, targets: dict[str, DataF
     The four new names begin with ``prefix``, which no kept column may do.
     ``dims``: columns to rake besides the topic (source and lang by default).
     ``targets``: for a dimension ("topic" for the topic), a table (value,
-    ``_share``); the others are tempered. Null values are values like any other;
+    ``_share``); the others are tempered. Given targets that cannot be met are a
+    RakingError; tempered ones (on a table where one dimension decides another)
+    are met as far as possible, with a warning that tells the residual. Null values are values like any other;
     repeated rows share their key's number and so stay or go together; an empty
     table gives no rows.
     """
@@ -107,10 +143,13 @@ def mix(docs: DataFrame, dims: list[str] | None = None, targets: dict[str, DataF
     for a, d in zip(axes, names):
         given = (targets or {}).get(d)
         wanted[a] = given.select(F.col(given.columns[0]).alias(a), "_share") if given is not None else tempered(cells, a, TOPIC_TEMPER if d == "topic" else TEMPER)
-    raked = rake(cells, axes, wanted)
-    rate = raked.select(*axes, (F.col("_weight") / F.col("_tokens")).alias("_rate"))
-    most = rate.agg(F.max("_rate")).first()[0] or 1.0
-    rate = rate.select(*[F.col(a).alias(f"c{a}") for a in axes], (F.col("_rate") / F.lit(most)).alias(chance))
+    raked, residual = rake(cells, axes, wanted, strict=bool(targets))
+    if residual >= CLOSE:
+        warnings.warn(f"the tempered shares exclude each other: one is {residual:.2g} off", stacklevel=2)
+    rate = scratch.save(raked.select(*axes, "_weight", (F.col("_weight") / F.col("_tokens")).alias("_rate")), "rates")
+    frequency = F.greatest(F.lit(1), F.round(F.col("_weight") * 1e9)).cast("long")
+    most = rate.where("_weight > 0").agg(F.percentile("_rate", F.lit(1 - CLIPPED), frequency)).first()[0] or 1.0
+    rate = rate.select(*[F.col(a).alias(f"c{a}") for a in axes], F.least(F.lit(1.0), F.col("_rate") / F.lit(most)).alias(chance))
     if rate.count() <= BROADCAST_ROWS // 10:
         rate = F.broadcast(rate)
     on = reduce(lambda a, b: a & b, [rows[a].eqNullSafe(rate[f"c{a}"]) for a in axes])
