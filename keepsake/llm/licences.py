@@ -51,10 +51,13 @@ def whole_texts() -> list[tuple[str, str]]:
 #: A line is a copyright line if it opens with one of these marks; it says who holds a text, not under what terms.
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\s+(?:\(c\)|©|[0-9])|\(c\)\s*[0-9]|©)[^\n]*$"
 
+#: So is a line of the mark and capitalised names alone.
+_HOLDER = r"(?m)^[^\p{L}\p{N}\n]*Copyright(?: by)?(?: \p{Lu}(?:\.|\p{Ll}[\p{L}.'-]*)){1,5}(?: <[^>\n]*>)?[^\p{L}\p{N}\n]*$"
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one space for each run of anything but letters and digits, one spelling."""
-    low = F.lower(text)
+    low = F.lower(F.when(text.contains("Copyright"), F.regexp_replace(text, _HOLDER, " ")).otherwise(text))
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
     low = F.when(marked, F.regexp_replace(low, _COPYRIGHT, " ")).otherwise(low)
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))

@@ -1,7 +1,11 @@
 """Licence digests: what is the same text and what is not."""
 
-from keepsake.llm import licences as L
+from pathlib import Path
 
+import duckdb
+import pytest
+
+from keepsake.llm import licences as L, oracles
 
 
 def look(spark, texts):
@@ -47,3 +51,34 @@ def test_whole_texts_and_notices_without_the_word(spark):
     assert got[len(whole) + 1].licence == "BSD-3-Clause"
     df = spark.createDataFrame([(1, "a\nOwned by the house!\nb")], "doc_id long, text string")
     assert L.scan(df, licences=[("X", "Owned by the house")]).first().notices == ["X"]
+
+
+def _sql(rows):
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        return sorted(db.execute(oracles.licence_digests()).fetchall())
+
+
+def test_planted_licences_through_the_join_and_the_sql(spark):
+    """Whole texts as people keep them: other titles, holders, case, marks, white space; and near misses."""
+    mit = dict(L.LICENCES[:1])["MIT"].removeprefix("MIT License\n")
+    wtfpl = (Path(L.__file__).parent / "licence_texts" / "WTFPL.txt").read_text()
+    apache = (Path(L.__file__).parent / "licence_texts" / "Apache-2.0.txt").read_text()
+    planted = [
+        ("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright Jane Roe\n\n" + mit), ("MIT", "MIT License\nCopyright by Jane Q. Roe <jane@example.org>\n" + mit.upper()), ("MIT", "  * " + mit.replace(" ", "\n  * ")),
+        ("WTFPL", wtfpl), ("WTFPL", wtfpl.replace("Sam Hocevar", "Someone Else")), ("Apache-2.0", apache), ("Apache-2.0", apache.replace("License", "LICENCE")),
+        (None, mit + "\nAnd more."), (None, mit.replace("free of charge", "for a fee")), (None, "Copyright Jane Roe"),
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(planted)]
+    got = sorted((r.doc_id, r.digest, r.licence, ",".join(r.notices)) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[2] for g in got] == [n for n, _ in planted]
+    assert got == _sql(rows)
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"])
+def test_the_files_that_systems_keep(spark, name):
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("not on this system")
+    assert (look(spark, [path.read_text("utf-8")])[0].licence or "").startswith(name.split("-")[0])
