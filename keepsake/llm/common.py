@@ -80,10 +80,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def free_prefix(df: DataFrame) -> str:
     """A prefix that no column of ``df`` begins with (names clash without regard to case)."""
     prefix = "__k"

@@ -16,7 +16,7 @@
    path, which all sets below share, and leaves subtrees whose remaining lengths
    cannot reach the threshold. Large blocks are cut into parts that also hold the
    same few pivots; then what is not connected with a block's largest component is
-   walked through all other parts, so no link is lost.
+   walked through all other parts that hold a hash of its prefix, so no link is lost.
 5. The links form components; a document's component is its smallest id.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, shuffle_partitions, slices, worker_cache
+from .common import BROADCAST_ROWS, Scratch, free_prefix, slices, worker_cache
 from .components import components
 
 WORDS = 5
@@ -46,6 +46,8 @@ CACHE_WORDS = 300_000
 PART, PIVOTS = 256, 8
 #: Hashes of a pack of sets.
 PACK = 1_500_000
+#: Bytes of text for each range of hashes (some 12 MB of packed hashes).
+BUCKET_BYTES = 16 << 20
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -89,8 +91,14 @@ def _share(n: int) -> int:
     return max(1, COMMON_PERCENT * n // 100)
 
 
-def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key: str) -> DataFrame:
-    """Steps 1 and 2: rows by ``kind``: 0 documents (key, n, class), 3 hashes that a class has in common with others (class, n)."""
+def buckets_of(docs: DataFrame, text: str) -> int:
+    """A power of two of hash ranges, by the bytes of the texts: a range's hashes stay about as many at any size of the input."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return 1 << max(6, min(20, (total // BUCKET_BYTES).bit_length()))
+
+
+def deal(docs: DataFrame, scratch: Scratch, buckets: int, percent: int, words: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 and 2: the documents (key, hash of the text, n, class), and how many hashes a class has in common with others (class, n)."""
     key_type = dict(docs.dtypes)[key]
     bits = buckets.bit_length() - 1
 
@@ -129,14 +137,13 @@ def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key
             n = len(rows)
             kind, bucket, a, b = zip(*rows)
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.nulls(n, kinds[0]), none, none, pa.array(a, pa.binary()), pa.array(b, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.nulls(n, kinds[0]), none, none, none, pa.array(a, pa.binary()), pa.array(b, pa.binary())], names)
 
-        names, kinds = ["kind", "bucket", "key", "n", "cls", "a", "b"], []
-        row = 0
+        names, kinds = ["kind", "bucket", "key", "body", "n", "cls", "a", "b"], []
         for batch in slices(batches):
             kinds[:] = [batch.column(0).type]
             n, cls = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 h = shingles(t, words)
                 n.append(len(h))
                 cls.append(c := set_class(h) if len(h) else None)
@@ -153,14 +160,12 @@ def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key
                     tokens, owners, held = [], [], 0
             size = batch.num_rows
             zero = pa.nulls(size, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), pa.array([(row + i) % buckets for i in range(size)], pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), zero, zero], names)
-            row += size
+            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), pa.nulls(size, pa.int32()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), zero, zero], names)
         if tokens:
             yield packed()
 
     def meet(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        whole = table.filter(pa.array(kind == 0)).select(["kind", "key", "n", "cls"])
         part = {k: table.filter(pa.array(kind == k)) for k in (1, 2, 3)}
         blob = lambda k, c, d: np.frombuffer(b"".join(part[k].column(c).to_pylist()), d)
         pair = np.unique(np.rec.fromarrays([blob(1, "a", "<u4"), blob(1, "b", "<i8")], names="t,c"))
@@ -172,11 +177,13 @@ def deal(docs: DataFrame, buckets: int, percent: int, words: int, text: str, key
         classes, back = np.unique(own, return_inverse=True)
         credit = np.bincount(back, worth, minlength=len(classes)).astype(np.int64)
         n = len(classes)
-        rest = pa.table({"kind": pa.array([3] * n, pa.int32()), "key": pa.nulls(n, table.schema.field("key").type), "n": pa.array(credit), "cls": pa.array(classes, pa.int64())})
-        return pa.concat_tables([whole, rest])
+        return pa.table({"cls": pa.array(classes, pa.int64()), "n": pa.array(credit)})
 
-    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(gather, f"kind int, bucket int, key {key_type}, n long, cls long, a binary, b binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, f"kind int, key {key_type}, n long, cls long")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    # documents and packed hashes are written in one pass over the texts; only the hashes are shuffled
+    dealt = scratch.save(rows.mapInArrow(gather, f"kind int, bucket int, key {key_type}, body long, n long, cls long, a binary, b binary"), "dealt", ["kind"])
+    common = dealt.where("kind > 0").groupBy("bucket").applyInArrow(meet, "cls long, n long")
+    return dealt.where("kind = 0").select("key", "body", "n", "cls"), common
 
 
 def _pack(table: pa.Table) -> dict[int, np.ndarray]:
@@ -194,8 +201,8 @@ def ordered_prefix(hashes: np.ndarray, codes: np.ndarray, percent: int) -> np.nd
     return hashes[order[codes[order] > 0]]
 
 
-def candidates(held: DataFrame, scratch: Scratch, buckets: int, percent: int) -> DataFrame:
-    """Step 3: edges (a, b) between classes whose ordered prefixes share a hash.
+def candidates(held: DataFrame, scratch: Scratch, buckets: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Step 3: edges (a, b) between classes whose ordered prefixes share a hash, and (cls, prefix) of all classes.
 
     Within a pack the first class with a hash stands for the others; across packs
     the representatives of a hash are joined to the smallest.
@@ -230,23 +237,49 @@ def candidates(held: DataFrame, scratch: Scratch, buckets: int, percent: int) ->
     def meet(sets: pa.Table, codes: pa.Table) -> pa.Table:
         own = _pack(sets)
         leader: dict[int, int] = {}
+        prefix: dict[int, bytes] = {}
         found: set[tuple[int, int]] = set()
         if own:
             token, _ = _pack_hashes(own, drop)
             code = np.frombuffer(b"".join(codes.sort_by("bucket").column("codes").to_pylist()), np.uint8)
             for c, h in own.items():
-                for t in ordered_prefix(h, code[np.searchsorted(token, h >> np.uint64(drop))], percent).astype(np.int64).tolist():
+                first = ordered_prefix(h, code[np.searchsorted(token, h >> np.uint64(drop))], percent)
+                prefix[c] = first.tobytes()
+                for t in first.astype(np.int64).tolist():
                     if (a := leader.setdefault(t, c)) != c:
                         found.add((a, c))
-        n = len(found)
-        lead = list(leader.values())
-        return pa.table({"token": pa.array([*leader, *[None] * n], pa.int64()), "a": pa.array([*lead, *[e[0] for e in found]], pa.int64()), "b": pa.array([*lead, *[e[1] for e in found]], pa.int64())})
-
-    met = dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(meet, "token long, a long, b long")
-    met = scratch.save(met, "met")
-    across = met.where("token is not null").groupBy("token").agg(F.collect_set("a").alias("all")).where(F.size("all") > 1)  # one per pack
+        n, k, lead = len(found), len(prefix), list(leader.values())
+        return pa.table({
+            "kind": pa.array([0] * len(lead) + [1] * n + [2] * k, pa.int32()), "token": pa.array([*leader, *[None] * (n + k)], pa.int64()), "a": pa.array([*lead, *[e[0] for e in found], *prefix], pa.int64()),
+            "b": pa.array([*lead, *[e[1] for e in found], *[None] * k], pa.int64()), "prefix": pa.array([None] * (len(lead) + n) + list(prefix.values()), pa.binary()),
+        })
+
+    met = dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(meet, "kind int, token long, a long, b long, prefix binary")
+    met = scratch.save(met, "met", ["kind"])
+    across = met.where("kind = 0").groupBy("token").agg(F.collect_set("a").alias("all")).where(F.size("all") > 1)  # one per pack
     across = across.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
-    return met.where("token is null").select("a", "b").unionByName(across).where("a <> b")
+    edges = met.where("kind = 1").select("a", "b").unionByName(across).where("a <> b")
+    return edges, met.where("kind = 2").select(F.col("a").alias("cls"), "prefix")
+
+
+def routes(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(cls, to): for each class that is ``away``, the other parts of its block that it can have a link in.
+
+    ``classes``: block, part, cls, away. Two linked sets share a hash of their
+    ordered prefixes, so a part without any hash of a set's prefix holds no set
+    linked with it. Hashes are joined to parts, not to the sets of a part.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x, "<i8") for x in batch.column("prefix").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("block", "part", "cls", "away")], pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["block", "part", "cls", "away", "token"])
+
+    known = classes.join(prefixes, "cls").select("block", "part", "cls", "away", "prefix")
+    rows = known.mapInArrow(unpack, "block long, part int, cls long, away boolean, token long")
+    there = rows.select("block", "token", F.col("part").alias("to")).distinct()
+    return rows.where("away").join(there, ["block", "token"]).where("part <> to").select("cls", "to").distinct()
 
 
 class Trie:
@@ -376,16 +409,19 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     nothing and have a null component; repeated rows are rows of their own with
     one component; an empty table gives no rows; other columns are left out.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    buckets = 1 << max(8, (4 * shuffle_partitions(spark) - 1).bit_length())
-    dealt = scratch.save(deal(docs, buckets, percent, words, text, key), "dealt", ["kind"])
-    rows = dealt.where("kind = 0").select("key", "n", "cls")
+    return _linked(docs, text, key, percent, words).drop("body")
+
+
+def _linked(docs: DataFrame, text: str, key: str, percent: int, words: int) -> DataFrame:
+    """``link_components`` with ``body``, the hash of the row's text."""
+    scratch = Scratch(docs.sparkSession)
+    buckets = buckets_of(docs, text)
+    rows, common = deal(docs, scratch, buckets, percent, words, text, key)
     classes = scratch.save(rows.where("key is not null and cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
     least = F.ceil(F.col("n") * percent / 100)
     need = F.greatest(F.lit(1), F.floor(least * COMMON_PERCENT / 100))
-    credits = dealt.where("kind = 3").groupBy("cls").agg(F.sum("n").alias("common"))
+    credits = common.groupBy("cls").agg(F.sum("n").alias("common"))
     alive = scratch.save(classes.join(credits, "cls").where(F.col("common") >= need).select(F.col("low").alias("_low"), "cls"), "alive")
 
     # the survivors' whole sets, from their texts
@@ -402,7 +438,7 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     bodies = slim.join(_maybe_broadcast(alive), slim["_key"] == alive["_low"]).select("cls", "_text")
     held = scratch.save(bodies.mapInArrow(sets, "cls long, hashes binary"), "sets")
-    edges = candidates(held, scratch, buckets, percent)
+    edges, prefixes = candidates(held, scratch, buckets, percent)
     blocks = components(edges, scratch, "blocks").withColumnsRenamed({"node": "cls", "root": "block"})
 
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
@@ -420,7 +456,7 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     links = scratch.save(_tries(first, percent), "links")
 
     if not large.isEmpty():
-        # what is not in a large block's largest component is walked through the other parts
+        # what is not in a large block's largest component is walked through the other parts that it can have a link in
         joined = components(links, scratch, "first").withColumnsRenamed({"node": "cls", "root": "root"})
         state = large.join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         counts = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("k"))
@@ -428,7 +464,8 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         state = scratch.save(state.join(giant, "block"), "state")
         open_blocks = state.where("root <> giant").select("block").distinct()
         todo = state.join(open_blocks, "block", "left_semi")
-        away = todo.where("root <> giant").withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> own")
+        to = routes(todo.select("block", "part", "cls", (F.col("root") != F.col("giant")).alias("away")), prefixes)
+        away = todo.where("root <> giant").drop("part").join(to, "cls").withColumnRenamed("to", "part")
         shape = lambda df, probe: df.select("block", "part", "cls", "hashes", F.lit(probe).alias("probe"), "root", to_bin)
         second = _tries(shape(todo, False).unionByName(shape(away, True)), percent)
         links = scratch.save(links.unionByName(second), "all-links")
@@ -441,11 +478,33 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     named = scratch.save(linked.unionByName(copied), "named").withColumnRenamed("cls", "_cls")
     out = rows.join(_maybe_broadcast(named), rows["cls"] == named["_cls"], "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "body")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are the smallest key of their component (or have no key), with the columns they came with."""
-    found = link_components(docs, text, key)
-    drop = Scratch(docs.sparkSession).save(found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_drop")).distinct(), "dropped")
-    return docs.join(_maybe_broadcast(drop), docs[key] == drop["_drop"], "left_anti")
+    """One row of each group of near copies, with the columns it came with: the smallest key's.
+
+    Rows with one key and different texts are judged apart: one may be a copy of
+    another document while the other stays. Of several rows with the smallest key
+    in one group (repeated rows, or near copies under one key) one stays, the one
+    with the smallest hash of its text. Rows without a key or without words are
+    copies of nothing and all stay, unless key and text repeat.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(_linked(docs, text, key, PERCENT, WORDS).withColumnRenamed(key, "_key"), "linked")
+    keyed = found.where("_key is not null")
+    gone = keyed.where(F.col("component_id") != F.col("_key")).select("_key", "body")
+    # several rows of a group under its smallest key
+    first = keyed.where(F.col("component_id") == F.col("_key")).select("_key", "body", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("body")).alias("group"))
+    rivals = first.groupBy("_key", "group").agg(F.min("body").alias("stays"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    rivals = scratch.save(rivals.drop("rows"), "rivals")
+    lost = first.join(rivals, ["_key", "group"]).where("body <> stays").select("_key", "body")
+    drop = scratch.save(gone.unionByName(lost).distinct(), "dropped").withColumnsRenamed({"_key": "_drop", "body": "_body"})
+    own = free_prefix(docs) + "body"
+    rows = docs.withColumn(own, F.xxhash64(text))
+    rows = rows.join(_maybe_broadcast(drop), (docs[key] == drop["_drop"]) & (F.col(own) == drop["_body"]), "left_anti")
+    if not rivals.isEmpty():  # of equal rows one stays: only these are shuffled
+        again = rivals.select(F.col("_key").alias("_drop"), F.col("stays").alias("_body"))
+        same = (docs[key] == again["_drop"]) & (F.col(own) == again["_body"])
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key, own]))
+    return rows.select(*docs.columns)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keepsake.llm import ngramjoin as J
 
@@ -83,6 +84,41 @@ def test_large_group_is_cut_into_parts(spark, monkeypatch):
     check(spark, rows + [(5000 + i, t) for i, t in enumerate(made(6, 60))])
 
 
+def test_two_large_halves_of_one_block(spark, monkeypatch):
+    """Rare n-grams in common make one block of two groups that are not linked, but for one document between them."""
+    for name, value in (("PART", 16), ("PIVOTS", 2), ("PACK", 2000)):
+        monkeypatch.setattr(J, name, value)
+    r = random.Random(7)
+    rare = [f"r{i}" for i in range(12)]
+    halves = [[f"{h}{i}" for i in range(80)] for h in "ab"]
+    rows = []
+    for i in range(120):
+        w = list(halves[i % 2]) + (rare if i < 10 else [])
+        w[r.randrange(80)] = f"y{r.randrange(10_000)}"
+        rows.append((i + 1, " ".join(w)))
+    check(spark, rows)
+    seen = J.routes(spark.createDataFrame([(1, p, c, c < 3) for c, p in ((1, 0), (2, 0), (3, 1), (4, 2))], "block long, part int, cls long, away boolean"), spark.createDataFrame([(c, np.array(t, "<u8").tobytes()) for c, t in ((1, [5, 2**63]), (2, [7]), (3, [2**63, 9]), (4, [9, 7]))], "cls long, prefix binary"))
+    assert sorted(map(tuple, seen.collect())) == [(1, 1), (2, 2)]
+
+
+def test_buckets_follow_the_bytes(spark):
+    one = spark.createDataFrame([("x" * 1000,)], "text string")
+    assert J.buckets_of(one.limit(0), "text") == J.buckets_of(one, "text") == 64
+    assert J.buckets_of(spark.range(200).select(F.repeat(F.lit("x"), 16 << 20).alias("text")), "text") == 256
+
+
+def test_keep_one_of_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, long, "x"), (1, long, "x"), (1, long + " more", "x"),  # one group under one key
+        (2, long, "x"), (2, "quite another text of this key", "x"),  # the first is a copy, the other is not
+        (3, "", "x"), (3, "", "x"), (3, None, "x"), (4, None, "x"), (None, long, "x"), (None, long, "x"), (5, "word " * 200_000, "x"), (6, "word " * 200_000, "x"),
+    ]
+    got = [(r.doc_id, len(r.text) if r.text is not None else None) for r in J.keep_one(spark.createDataFrame(rows, "doc_id long, text string, body string")).collect()]
+    assert len([g for g in got if g[0] == 1]) == 1
+    assert sorted([g for g in got if g[0] != 1], key=str) == sorted([(2, 30), (3, 0), (3, None), (4, None), (None, len(long)), (None, len(long)), (5, 1_000_000)], key=str)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE Two"), (6, "two one"), (7, "a b c d e"), (8, "a b c d e"), (8, "a b c d e"), (None, "a b c d e"), (9, "É a b c d"), (10, "é a b c d"), (11, "a b c d e f g")]
     check(spark, rows)
