@@ -76,6 +76,16 @@ def worker_cache(name: str, cache: dict, most: int) -> dict:
     return cache
 
 
+#: The columns of documents that the classifier's metadata view reads.
+META = ["source", "lang", "n_chars"]
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

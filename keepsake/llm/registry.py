@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, editcount, mainhtml, oracles
-from .common import table
+from .common import META, table, tokenizer_path
 from .licences import scan
 from .mixing import mix
 from .ngramjoin import link_components
@@ -16,16 +16,6 @@ from .sharding import hilbert_shards
 from .vectordups import near_duplicates
 
 
-#: The columns of documents that the metadata view reads.
-META = ["source", "lang", "n_chars"]
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
