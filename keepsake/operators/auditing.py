@@ -26,11 +26,17 @@ def filtered(audit: DataFrame, events: list[str] | None = None, item: str | None
 
 
 def page(audit: DataFrame, limit: int = DEFAULT_PAGE) -> DataFrame:
-    """The newest rows; one more than the limit is asked for to tell whether the page is cut short."""
+    """The newest rows, at most ``limit`` (1 to 1000)."""
     limit = max(1, min(limit, LARGEST_PAGE))
     return audit.orderBy(F.desc("id")).limit(limit)
 
 
+def page_and_more(audit: DataFrame, limit: int = DEFAULT_PAGE) -> tuple[DataFrame, bool]:
+    """The page, and whether it is cut short: one row more than the limit is asked for."""
+    limit = max(1, min(limit, LARGEST_PAGE))
+    return page(audit, limit), audit.orderBy(F.desc("id")).limit(limit + 1).count() > limit
+
+
 def aggregates(audit: DataFrame) -> DataFrame:
     """Count and two ten-bucket histograms per (day, policy, event)."""
     bucket = {c: scores.score_bucket(F.col(f"{c}_pct")) for c in ("value", "fragility")}

@@ -1,8 +1,9 @@
 """One maintenance run: expiries, releases, re-grants, merges and reclaims, in that order, page by page.
 
 A page (200 items of a scope, oldest first) is decided on its own, scopes and
-pages in parallel; capacity is the whole scope's. Only pages are grouped, so no
-task holds more than one.
+pages in parallel; capacity is what earlier pages have left of the whole scope's,
+known from running sums of expiries and reclaims (merges free nothing for later
+pages of the same run). Only pages are grouped.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.functions import scores
 from keepsake.functions.embedding import split_white
 from keepsake.functions.scores import BASELINE, Config
 
@@ -85,6 +87,20 @@ def run(items: DataFrame, state: DataFrame, scope: list[str], now: int, cfg: Con
     """(scope, page, phase, id, reason, into, until_s). ``state``: scope, used_items, used_bytes, max_items, max_bytes."""
     place = F.row_number().over(Window.partitionBy(*scope).orderBy("created_at_s", "id"))
     rows = items.withColumn("page", F.floor((place - 1) / PAGE).cast("long")).join(state, scope)
+    # each page sees the capacity that earlier pages have left: expiries up to a page come before its reclaims, and these
+    # take the oldest free items, so the reclaimed ones are those that still find the scope over its limits
+    in_order = Window.partitionBy(*scope).orderBy("created_at_s", "id")
+    by_page = Window.partitionBy(*scope).orderBy("page")
+    upto, earlier = by_page.rangeBetween(Window.unboundedPreceding, 0), by_page.rangeBetween(Window.unboundedPreceding, -1)
+    ahead = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda n, over: F.coalesce(F.sum(n).over(over), F.lit(0))
+    rows = rows.withColumn("_x", scores.expired(F.col("created_at_s"), F.col("ttl_seconds"), now))
+    rows = rows.withColumn("_f", ~F.col("_x") & F.coalesce(scores.evictable(F.col("protection"), F.col("protected_until_s"), now), F.lit(False)))
+    one, size = lambda c: F.when(F.col(c), 1).otherwise(0), lambda c: F.when(F.col(c), F.col("byte_size")).otherwise(0)
+    items_left = F.col("used_items") - total(one("_x"), upto) - total(one("_f"), ahead)
+    bytes_left = F.col("used_bytes") - total(size("_x"), upto) - total(size("_f"), ahead)
+    rows = rows.withColumn("_e", F.col("_x") | (F.col("_f") & scores.would_exceed(items_left, bytes_left, F.col("max_items"), F.col("max_bytes"), 0, 0)))
+    rows = rows.withColumns({"used_items": F.col("used_items") - total(one("_e"), earlier), "used_bytes": F.col("used_bytes") - total(size("_e"), earlier)})
     fields = ["id", "body", "created_at_s", "ttl_seconds", "protection", "protected_until_s", "byte_size"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

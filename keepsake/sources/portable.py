@@ -54,6 +54,7 @@ def import_into(store: MemoryStore, tenant: str, records: DataFrame, now_s: int,
     Sensitivity is raised to what is detected, pins are dropped, and protection
     ends within the window.
     """
+    at = store.state()
     counts = records.agg(
         F.count_if(F.col("record") == "header").alias("heads"), F.count_if((F.col("record") == "header") & (F.col("format_version") != FORMAT_VERSION)).alias("other"),
         F.count_if((F.col("record") == "item") & ~F.col("item.tenant").eqNullSafe(tenant)).alias("items"), F.count_if((F.col("record") == "audit") & ~F.col("audit.tenant").eqNullSafe(tenant)).alias("audit"),
@@ -74,9 +75,19 @@ def import_into(store: MemoryStore, tenant: str, records: DataFrame, now_s: int,
         "protected_until_s": F.when(F.col("protection") == "protected", F.least(F.col("protected_until_s"), F.lit(now_s + window_days * DAY))),
     }).select(*ITEMS.fieldNames())
     n = hardened.count()
+    # a vector comes with its item; an item without one is found by vector only after a backfill
+    new = hardened.select("tenant", "subject", "namespace", F.col("id").alias("item_id"))
+    if "vector" not in records.columns:
+        records = records.withColumn("vector", F.lit(None).cast("struct<embedder:string,dim:int,scale:float,q_base64:string>"))
+    given = records.where((F.col("record") == "item") & F.col("vector").isNotNull()).select("item.tenant", "item.subject", "item.namespace", F.col("item.id").alias("item_id"), "vector.embedder", "vector.dim", "vector.scale", F.unbase64("vector.q_base64").alias("q"))
+    whole = given.where((F.col("dim") > 0) & (F.length("q") == F.col("dim")) & (F.col("scale") > 0) & (F.col("embedder") != ""))
+    vectors = whole.dropDuplicates(["tenant", "subject", "namespace", "item_id"]).join(new, ["tenant", "subject", "namespace", "item_id"], "left_semi")
+    have = vectors.select("tenant", "subject", "namespace", F.col("item_id").alias("id"), F.lit(True).alias("_have"))
+    hardened = hardened.join(have, ["tenant", "subject", "namespace", "id"], "left").withColumn("pending_embedding", F.col("_have").isNull()).drop("_have")
     audit = records.where(F.col("record") == "audit").select("audit.*")
     audit = audit.join(store.read("audit").select("tenant", "id"), ["tenant", "id"], "left_anti")
-    store.commit(items=held.unionByName(hardened), audit=store.read("audit").unionByName(audit))
+    done = store.event(tenant, "", "", "imported", now_s, f"{n} items")
+    store.commit(at, items=held.unionByName(hardened), vectors=store.read("vectors").unionByName(vectors), audit=store.read("audit").unionByName(audit).unionByName(done))
     return n
 
 
@@ -87,13 +98,20 @@ def markdown(items: DataFrame) -> DataFrame:
     return items.select("subject", "namespace", "id", F.concat(head, F.lit("## "), F.col("id"), F.lit("\n\n"), text.markdown_escaped(F.col("body")), F.lit("\n")).alias("value"))
 
 
-def _digest(lines: DataFrame) -> dict[str, int]:
-    """Lines, bytes, and two order-free sums of line hashes: computed where the lines are, for archives of any size."""
-    row = lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("xor"), F.coalesce(F.bit_xor(F.xxhash64("value", F.lit(1))), F.lit(0)).alias("xor1")).first()
-    return row.asDict()
+def _digest(lines: DataFrame) -> dict[str, int | str]:
+    """Lines, bytes, and a SHA-256 over the lines' sorted SHA-256 digests, in two levels.
+
+    The first level is 4096 parts by the digests' first digits, so a task holds
+    the digests of a 4096th of the archive; a changed, added, dropped or repeated
+    line shows, the order of lines doesn't.
+    """
+    rows = lines.select(F.sha2("value", 256).alias("d"), F.octet_length("value").alias("n"))
+    part = rows.groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    row = part.agg(F.sum("k").alias("lines"), F.sum("n").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "d"))), ","), 256).alias("sha256")).first()
+    return {"lines": row["lines"] or 0, "bytes": row["bytes"] or 0, "sha256": row["sha256"] or ""}
 
 
-def write_archive(store: MemoryStore, tenant: str, path: str, at_s: int, force: bool = False, with_audit: bool = False) -> dict[str, int]:
+def write_archive(store: MemoryStore, tenant: str, path: str, at_s: int, force: bool = False, with_audit: bool = False) -> dict[str, int | str]:
     """``memories.ndjson``, ``memories.md`` and a manifest; refuses to overwrite unless forced."""
     spark = store.spark
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -115,7 +133,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return read_ndjson(spark, path)
-    held = spark.read.schema("lines long, bytes long, xor long, xor1 long").json(f"{path}/manifest.json").first().asDict()
+    held = spark.read.schema("lines long, bytes long, sha256 string").json(f"{path}/manifest.json").first().asDict()
     if held != _digest(spark.read.text(f"{path}/memories.ndjson")):
         raise StoreError("the archive does not match its manifest")
     return read_ndjson(spark, f"{path}/memories.ndjson")

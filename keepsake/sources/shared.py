@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir (one is set only where none is); it goes when the driver ends."""
+    """A new place below spark.checkpoint.dir (one is set only where none is, in local mode); it goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="keepsake-")
         spark.conf.set("spark.checkpoint.dir", root)
     made = f"{root.rstrip('/')}/keepsake-{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,7 @@
 """Maintenance phases, replay of archives, identities and settings."""
 
+import random
+
 import pytest
 
 from keepsake.functions.scores import Config
@@ -55,6 +57,31 @@ def test_pages_through_spark(spark, monkeypatch):
     assert M.report(got, 9) == {"scanned": 9, "forgotten": 1, "released": 0, "regranted": 0, "consolidated": 1}
 
 
+@pytest.mark.parametrize("limits", [(40, None), (None, 400), (30, 350), (57, 10_000)])
+def test_pages_see_what_earlier_pages_have_left(spark, monkeypatch, limits):
+    """Against deciding page after page with the capacity read anew; pages hold 7 of 60 items."""
+    monkeypatch.setattr(M, "PAGE", 7)
+    r = random.Random(sum(x or 1 for x in limits))
+    rows = []
+    for i in range(60):
+        kind = r.choice(["normal", "normal", "normal", "pinned", "protected"])
+        rows.append(("s", "n", f"{i:03}", f"w{i} v{i} u{i}", i // 2, r.choice([None, None, 5, NOW * 2]), kind, r.choice([NOW - 1, NOW + 9]) if kind == "protected" else None, r.randint(5, 15)))
+    df = spark.createDataFrame(rows, "subject string, namespace string, id string, body string, created_at_s long, ttl_seconds long, protection string, protected_until_s long, byte_size long")
+    used_items, used_bytes = 60, sum(x[-1] for x in rows)
+    state = spark.createDataFrame([("s", "n", used_items, used_bytes, *limits)], "subject string, namespace string, used_items long, used_bytes long, max_items long, max_bytes long")
+    got = {(d["page"], d.phase, d.id) for d in M.run(df, state, ["subject", "namespace"], NOW).collect() if d.phase in ("expire", "reclaim")}
+    want = set()
+    fields = ["id", "body", "created_at_s", "ttl_seconds", "protection", "protected_until_s", "byte_size"]
+    for p in range(0, 60, 7):
+        page = [dict(zip(fields, x[2:])) for x in rows[p : p + 7]]
+        size = {i["id"]: i["byte_size"] for i in page}
+        for d in M.decide(page, used_items, used_bytes, *limits, NOW):
+            if d["phase"] in ("expire", "reclaim"):
+                want.add((p // 7, d["phase"], d["id"]))
+                used_items, used_bytes = used_items - 1, used_bytes - size[d["id"]]
+    assert got == want and any(w[1] == "reclaim" for w in want)
+
+
 def archive(spark, tmp_path, with_audit=True):
     store = MemoryStore(spark, f"file://{tmp_path}/store")
     audit = [("acme", f"a{i}", 5, 0, "u", "n", e, refs, None, None, None, None, None, None) for i, (e, refs) in enumerate([("admitted", [("1", "d")]), ("merged", [("1", "d")]), ("recalled", []), ("admitted", [("9", "d")]), ("admitted", []), ("rejected", None)])]
