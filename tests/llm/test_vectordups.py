@@ -115,7 +115,7 @@ def test_planted_links_at_several_levels_of_splitting(spark, monkeypatch):
     got, recall = run(spark, rows)
     want = brute(rows)
     assert recall >= 0.98
-    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want) > 0 and all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want) > 0 and all(g[1] <= w[1] for g, w in zip(got, want))
 
 
 def test_pruned_neighbours_keep_the_rule():
