@@ -23,6 +23,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
 
 
+def pack(q: Column) -> Column:
+    """Codes as one byte each, in two's complement."""
+    return F.unhex(F.array_join(F.transform(q, lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(255)), 2, "0")), ""))
+
+
+def unpack(q: Column) -> Column:
+    """The codes of packed bytes; no bytes give no codes."""
+    byte = lambda i: F.conv(F.hex(F.substring(q, i + 1, F.lit(1))), 16, 10).cast("int")
+    signed = lambda i: F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i))
+    return F.when(F.length(q) > 0, F.transform(F.sequence(F.lit(0), F.length(q) - 1), signed)).when(q.isNotNull(), F.array().cast("array<int>"))
+
+
 #: Rows of one block of a scope.
 BLOCK = 2_000
 
