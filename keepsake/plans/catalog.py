@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keepsake.engine import Engine
 from keepsake.functions import scores, text, vectors as vec
 from keepsake.operators import admission, auditing, composing, governance, maintenance, retrieval
 from keepsake.plans import fixtures as fx
 from keepsake.plans.fixtures import AUDIT_SQL, BUDGET_SQL, ITEMS_SQL, NOW, VECTORS_SQL
+from keepsake.sources.shared import shared_path
+from keepsake.sources.store import MemoryStore
 from keepsake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,6 +520,19 @@ def remember_fold(spark, sf_dir):
     return admitted(spark, sf_dir, scores.BASELINE)
 
 
+@query("""WITH w AS (SELECT CAST(conv_id AS VARCHAR) AS subject, role AS namespace, conv_id || '-' || turn AS key, 0 AS delivery, turn, text AS body FROM conversations
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), role, conv_id || '-' || turn, 1, turn, CASE WHEN role = 'user' THEN text ELSE text || '!' END FROM conversations),
+seen AS (SELECT *, row_number() OVER k AS n, first_value(body) OVER k AS first_body FROM w WINDOW k AS (PARTITION BY subject, namespace, key ORDER BY delivery, body))
+SELECT subject, namespace, key, delivery, CASE WHEN n = 1 THEN 'new' WHEN body = first_body THEN 'replayed' ELSE 'conflict' END AS outcome FROM seen""")
+def remember_replayed(spark, sf_dir):
+    """All turns remembered in a new store, then delivered again (in another body unless the user wrote them)."""
+    engine = Engine(MemoryStore(spark, shared_path(spark, "store")), fx.TENANT)
+    first = fx.writes(spark, sf_dir).withColumns({"seq": F.col("turn").cast("long"), "at_s": F.lit(NOW) + F.col("turn")})
+    again = first.withColumn("body", F.when(F.col("namespace") == "user", F.col("body")).otherwise(F.concat("body", F.lit("!"))))
+    told = [engine.remember(w).select("subject", "namespace", "key", F.lit(n).alias("delivery"), "outcome") for n, w in enumerate((first, again))]
+    return told[0].unionByName(told[1])
+
+
 @query()
 def shadow_diff(spark, sf_dir):
     """How the decisions change under a policy that merges and rejects sooner."""
