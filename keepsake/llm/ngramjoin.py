@@ -16,7 +16,8 @@
    path, which all sets below share, and leaves subtrees whose remaining lengths
    cannot reach the threshold. Large blocks are cut into parts that also hold the
    same few pivots; then what is not connected with a block's largest component is
-   walked through all other parts that hold a hash of its prefix, so no link is lost.
+   walked through all other parts where another component holds a hash of its
+   prefix, so no link is lost.
 5. The links form components; a document's component is its smallest id.
 """
 
@@ -44,6 +45,8 @@ FLUSH = 1_500_000
 CACHE_WORDS = 300_000
 #: Sets in a part of a block, and pivots in each part.
 PART, PIVOTS = 256, 8
+#: Bytes of hashes that a task gathers to build tries from.
+BIN_BYTES = 8 << 20
 #: Hashes of a pack of sets.
 PACK = 1_500_000
 #: Bytes of text for each range of hashes (some 12 MB of packed hashes).
@@ -263,23 +266,27 @@ def candidates(held: DataFrame, scratch: Scratch, buckets: int, percent: int) ->
 
 
 def routes(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(cls, to): for each class that is ``away``, the other parts of its block that it can have a link in.
+    """(cls, to): for each class that is ``away``, the other parts of its block that it can have a new link in.
 
-    ``classes``: block, part, cls, away. Two linked sets share a hash of their
-    ordered prefixes, so a part without any hash of a set's prefix holds no set
-    linked with it. Hashes are joined to parts, not to the sets of a part.
+    ``classes``: block, part, cls, away, root (its own by default). Two linked sets share a hash of their
+    ordered prefixes, and a link inside a component (``root``) adds nothing: a part
+    where only the set's own component holds hashes of its prefix is passed over.
+    Hashes are joined to parts, not to the sets of a part.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(x, "<i8") for x in batch.column("prefix").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("block", "part", "cls", "away")], pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["block", "part", "cls", "away", "token"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names[:-1]], pa.array(np.concatenate(parts) if parts else [], pa.int64())], names)
 
-    known = classes.join(prefixes, "cls").select("block", "part", "cls", "away", "prefix")
-    rows = known.mapInArrow(unpack, "block long, part int, cls long, away boolean, token long")
-    there = rows.select("block", "token", F.col("part").alias("to")).distinct()
-    return rows.where("away").join(there, ["block", "token"]).where("part <> to").select("cls", "to").distinct()
+    names = ["block", "part", "cls", "root", "away", "token"]
+    classes = classes if "root" in classes.columns else classes.withColumn("root", F.col("cls"))
+    known = classes.join(prefixes, "cls").select(*names[:-1], "prefix")
+    rows = known.mapInArrow(unpack, "block long, part int, cls long, root long, away boolean, token long")
+    there = rows.groupBy("block", "token", F.col("part").alias("to")).agg(F.min("root").alias("_least"), F.max("root").alias("_most"))
+    other = (F.col("_least") != F.col("root")) | (F.col("_most") != F.col("root"))
+    return rows.where("away").join(there, ["block", "token"]).where("part <> to").where(other).select("cls", "to").distinct()
 
 
 class Trie:
@@ -339,8 +346,8 @@ class Trie:
                 todo.append((c, depth, shared))
 
 
-def trie_links(sets: list[np.ndarray], probes: list[int], percent: int, group: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links of the probes with any set, as a forest: none between sets that are connected already (``group``: equal numbers)."""
+def trie_links(sets: list[np.ndarray], probes: list[int], percent: int, group: list[int] | None = None, stored: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of the probes with any stored set (all by default), as a forest: none between sets that are connected already (``group``: equal numbers)."""
     vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(-np.bincount(at), kind="stable")  # common hashes first: sets share long paths
     rank = np.empty(len(order), np.int64)
@@ -348,8 +355,8 @@ def trie_links(sets: list[np.ndarray], probes: list[int], percent: int, group: l
     parts = np.split(rank[at], np.cumsum([len(s) for s in sets])[:-1])
     trie = Trie(np.empty(0, np.int64))
     ranks = [np.sort(p) for p in parts]
-    for i, r in enumerate(ranks):
-        trie.insert(r, i)
+    for i in range(len(sets)) if stored is None else stored:
+        trie.insert(ranks[i], i)
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -376,23 +383,30 @@ def _maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def _bins(size: int) -> int:
+    """Bins that tries are built in, one bin in memory at a time, by the bytes of the hashes to be dealt to them."""
+    return max(1, -(-size // BIN_BYTES))
+
+
 def _tries(parts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside each (block, part). Rows: bin, block, part, cls, hashes, probe, root (null: not connected yet)."""
+    """Links (a, b) inside each (block, part, slot). Rows: bin, block, part, slot, cls, hashes, probe, stored, root (null: not connected yet)."""
 
     def run(table: pa.Table) -> pa.Table:
-        data = table.sort_by([("block", "ascending"), ("part", "ascending"), ("cls", "ascending")])
-        block, part = data.column("block").to_numpy(), data.column("part").to_numpy()
-        cls, root = data.column("cls").to_numpy(), data.column("root").to_pylist()
-        probe, blobs = data.column("probe").to_pylist(), data.column("hashes")
-        cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]), True])
+        table = table.drop_columns(["bin"])
+        order = np.lexsort([table.column(c).to_numpy() for c in ("cls", "slot", "part", "block")])
+        block, part, slot, cls = (table.column(c).to_numpy()[order] for c in ("block", "part", "slot", "cls"))
+        probe, stored, root = (table.column(c).to_pylist() for c in ("probe", "stored", "root"))
+        blobs = table.column("hashes")
+        cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (slot[1:] != slot[:-1]), True])
         a, b = [], []
         for i, j in zip(cuts, cuts[1:]):
             if j - i < 2:
                 continue
             own = [k for k in range(i, j) if k == i or cls[k] != cls[k - 1]]  # a class that came twice is taken once
-            sets = [np.frombuffer(blobs[k].as_py(), "<u8") for k in own]
-            group = [root[k] if root[k] is not None else int(cls[k]) for k in own]
-            for x, y in trie_links(sets, [x for x, k in enumerate(own) if probe[k]], percent, group):
+            at = order[own].tolist()
+            sets = [np.frombuffer(blobs[k].as_py(), "<u8") for k in at]
+            group = [root[k] if root[k] is not None else int(cls[x]) for k, x in zip(at, own)]
+            for x, y in trie_links(sets, [x for x, k in enumerate(at) if probe[k]], percent, group, [x for x, k in enumerate(at) if stored[k]]):
                 a.append(int(cls[own[x]]))
                 b.append(int(cls[own[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -443,16 +457,20 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int, words: int) -> D
 
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     members = held.join(blocks, "cls").join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    members = scratch.save(members, "members")
-    bins = max(1, -(-members.count() // (2 * PART)))
-    to_bin: Column = F.pmod(F.xxhash64("block", "part"), F.lit(bins)).alias("bin")
-    columns = ["block", "part", "cls", "hashes", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("root")]
+    members = scratch.save(members.withColumn("size", F.octet_length("hashes").cast("long")), "members")
+
+    def shape(df: DataFrame, size: int, probe: bool, stored: bool, root: Column, slot: Column) -> DataFrame:
+        rows = df.select("block", "part", slot.cast("int").alias("slot"), "cls", "hashes", F.lit(probe).alias("probe"), F.lit(stored).alias("stored"), root.alias("root"))
+        return rows.withColumn("bin", F.pmod(F.xxhash64("block", "part", "slot"), F.lit(_bins(size))).cast("int"))
+
+    size = members.agg(F.sum("size")).first()[0] or 0
     large = members.where("parts > 1")
     # pivots: the first classes of a large block by hash go into each of its parts
     low = large.groupBy("block").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")) == 0, F.col("cls")))), 1, PIVOTS).alias("pivots"))
     pivots = large.join(low, "block").where(F.array_contains("pivots", F.col("cls")))
     copies = pivots.withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> own")
-    first = members.select(*columns, to_bin).unionByName(copies.select(*columns, to_bin))
+    alone, zero = F.lit(None).cast("long"), F.lit(0)
+    first = shape(members, size, True, True, alone, zero).unionByName(shape(copies, size, True, True, alone, zero))
     links = scratch.save(_tries(first, percent), "links")
 
     if not large.isEmpty():
@@ -464,10 +482,16 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int, words: int) -> D
         state = scratch.save(state.join(giant, "block"), "state")
         open_blocks = state.where("root <> giant").select("block").distinct()
         todo = state.join(open_blocks, "block", "left_semi")
-        to = routes(todo.select("block", "part", "cls", (F.col("root") != F.col("giant")).alias("away")), prefixes)
+        to = scratch.save(routes(todo.select("block", "part", "cls", "root", (F.col("root") != F.col("giant")).alias("away")), prefixes), "routes")
         away = todo.where("root <> giant").drop("part").join(to, "cls").withColumnRenamed("to", "part")
-        shape = lambda df, probe: df.select("block", "part", "cls", "hashes", F.lit(probe).alias("probe"), "root", to_bin)
-        second = _tries(shape(todo, False).unionByName(shape(away, True)), percent)
+        # the part's own sets are stored once for each slot of visitors; visitors meet at home, so they are only walked
+        visits = scratch.save(away.groupBy("block", "part").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("slots"), F.sum("size").alias("visitors")), "visits")
+        hosts = todo.join(visits, ["block", "part"])
+        size = (hosts.agg(F.sum(F.col("size") * F.col("slots"))).first()[0] or 0) + (visits.agg(F.sum("visitors")).first()[0] or 0)
+        hosts = hosts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        away = away.join(visits, ["block", "part"])
+        slot = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("slots"))
+        second = _tries(shape(hosts, size, False, True, F.col("root"), F.col("slot")).unionByName(shape(away, size, True, False, F.col("root"), slot)), percent)
         links = scratch.save(links.unionByName(second), "all-links")
 
     joined = components(links, scratch, "links").withColumnsRenamed({"node": "cls"})

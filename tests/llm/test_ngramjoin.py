@@ -101,6 +101,43 @@ def test_two_large_halves_of_one_block(spark, monkeypatch):
     assert sorted(map(tuple, seen.collect())) == [(1, 1), (2, 2)]
 
 
+def test_routes_pass_over_the_own_component(spark):
+    """Of two halves of a block the smaller one visits no part for the hashes that only itself has there."""
+    classes = [(1, part, 10 * half + part, 10 * half, half == 1) for half in (1, 2) for part in range(6)]
+    prefixes = [(10 * half + part, np.array([half, 7] if part == 5 else [half], "<u8").tobytes()) for half in (1, 2) for part in range(6)]
+    seen = J.routes(spark.createDataFrame([*classes, (1, 2, 30, 30, True)], "block long, part int, cls long, root long, away boolean"), spark.createDataFrame([*prefixes, (30, np.array([7], "<u8").tobytes())], "cls long, prefix binary"))
+    assert sorted(map(tuple, seen.collect())) == [(15, 2), (30, 5)]
+
+
+def test_visitors_meet_the_stored_sets_only(spark):
+    a, b = (np.arange(i, i + 40, dtype="<u8").tobytes() for i in (0, 1))
+    rows = [(0, 1, 0, 0, c, h, probe, not probe, None) for c, h, probe in ((1, a, False), (2, b, True), (3, np.arange(9, 49, dtype="<u8").tobytes(), True), (4, np.arange(10, 50, dtype="<u8").tobytes(), True))]
+    links = J._tries(spark.createDataFrame(rows, "bin int, block long, part int, slot int, cls long, hashes binary, probe boolean, stored boolean, root long"), 75)
+    assert [tuple(r) for r in links.collect()] == [(2, 1)]
+
+
+def test_many_visitors_in_slots(spark, monkeypatch):
+    """Texts that share passages with a large group, and pairs of them, are visitors of its parts by several slots."""
+    monkeypatch.setattr(J, "PART", 6)
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    monkeypatch.setattr(J, "BIN_BYTES", 5000)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(60)] = f"y{r.randrange(10_000)}"
+        texts.append(w)
+        own = base[:30] + [f"z{i}-{j}" for j in range(r.choice([8, 15, 30]))]
+        texts += [own, own[:-1] + ["end"]] if i % 2 else [own]
+    rows = [(i * 7 % 1009, " ".join(w)) for i, w in enumerate(texts)]
+    check(spark, rows)
+
+
+def test_bins_follow_the_bytes():
+    assert [J._bins(x * J.BIN_BYTES) for x in (0, 1, 5)] == [1, 1, 5]
+
+
 def test_buckets_follow_the_bytes(spark):
     one = spark.createDataFrame([("x" * 1000,)], "text string")
     assert J.buckets_of(one.limit(0), "text") == J.buckets_of(one, "text") == 64
