@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +58,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: idle Python workers count as their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 _caches: dict[str, dict] = {}
 
 
@@ -71,6 +83,7 @@ def worker_cache(name: str, cache: dict, most: int) -> dict:
     if name not in _caches:
         _caches.clear()
         _caches[name] = cache
+        trim()
     if len(cache) > most:
         cache.clear()
     return cache

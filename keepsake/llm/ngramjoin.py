@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, free_prefix, slices, worker_cache
+from .common import BROADCAST_ROWS, Scratch, free_prefix, slices, trim, worker_cache
 from .components import components
 
 WORDS = 5
@@ -94,6 +94,15 @@ def _share(n: int) -> int:
     return max(1, COMMON_PERCENT * n // 100)
 
 
+def distinct_pairs(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (token, owner) pairs, by token then owner: sorted as two plain columns, not as records."""
+    order = np.argsort(owner, kind="stable")
+    order = order[np.argsort(token[order], kind="stable")]
+    token, owner = token[order], owner[order]
+    new = np.r_[np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
+    return token[new], owner[new]
+
+
 def buckets_of(docs: DataFrame, text: str) -> int:
     """A power of two of hash ranges, by the bytes of the texts: a range's hashes stay about as many at any size of the input."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -171,16 +180,19 @@ def deal(docs: DataFrame, scratch: Scratch, buckets: int, percent: int, words: i
         kind = table.column("kind").to_numpy()
         part = {k: table.filter(pa.array(kind == k)) for k in (1, 2, 3)}
         blob = lambda k, c, d: np.frombuffer(b"".join(part[k].column(c).to_pylist()), d)
-        pair = np.unique(np.rec.fromarrays([blob(1, "a", "<u4"), blob(1, "b", "<i8")], names="t,c"))
+        pair, owner = distinct_pairs(blob(1, "a", "<u4"), blob(1, "b", "<i8"))
         more, times = blob(2, "a", "<u4"), blob(2, "b", "<u4")
-        token, at = np.unique(np.concatenate([pair["t"], more]), return_inverse=True)
+        token, at = np.unique(np.concatenate([pair, more]), return_inverse=True)
         count = np.bincount(at[: len(pair)], minlength=len(token)) + np.bincount(at[len(pair) :], times, minlength=len(token)).astype(np.int64)
-        own = np.concatenate([pair["c"][count[at[: len(pair)]] > 1], blob(3, "a", "<i8")])
-        worth = np.concatenate([np.ones(int((count[at[: len(pair)]] > 1).sum()), np.int64), blob(3, "b", "<u4").astype(np.int64)])
+        met = count[at[: len(pair)]] > 1
+        own = np.concatenate([owner[met], blob(3, "a", "<i8")])
+        worth = np.concatenate([np.ones(int(met.sum()), np.int64), blob(3, "b", "<u4").astype(np.int64)])
         classes, back = np.unique(own, return_inverse=True)
         credit = np.bincount(back, worth, minlength=len(classes)).astype(np.int64)
-        n = len(classes)
-        return pa.table({"cls": pa.array(classes, pa.int64()), "n": pa.array(credit)})
+        out = pa.table({"cls": pa.array(classes, pa.int64()), "n": pa.array(credit)})
+        del part, pair, owner, more, times, token, at, count, met, own, worth, classes, back, credit
+        trim()
+        return out
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     # documents and packed hashes are written in one pass over the texts; only the hashes are shuffled
@@ -409,6 +421,8 @@ def _tries(parts: DataFrame, percent: int) -> DataFrame:
             for x, y in trie_links(sets, [x for x, k in enumerate(at) if probe[k]], percent, group, [x for x, k in enumerate(at) if stored[k]]):
                 a.append(int(cls[own[x]]))
                 b.append(int(cls[own[y]]))
+        del table, blobs
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return parts.groupBy("bin").applyInArrow(run, "a long, b long")

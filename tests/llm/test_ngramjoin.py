@@ -134,6 +134,14 @@ def test_many_visitors_in_slots(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_distinct_pairs():
+    r = np.random.default_rng(2)
+    token, owner = r.integers(0, 40, 3000).astype("<u4"), r.integers(-9, 9, 3000).astype("<i8")
+    pairs = list(zip(*(x.tolist() for x in J.distinct_pairs(token, owner))))
+    assert pairs == sorted({*zip(token.tolist(), owner.tolist())})
+    assert [len(x) for x in J.distinct_pairs(token[:0], owner[:0])] == [0, 0]
+
+
 def test_bins_follow_the_bytes():
     assert [J._bins(x * J.BIN_BYTES) for x in (0, 1, 5)] == [1, 1, 5]
 
