@@ -358,16 +358,48 @@ class Trie:
                 todo.append((c, depth, shared))
 
 
+def reachable(sizes: np.ndarray, at: np.ndarray, probes: np.ndarray, stored: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which probes and which stored sets can have a link with each other at all, as two masks over the sets.
+
+    ``at``: the numbers of all sets' hashes, one set after the other. Two linked sets have in common at least
+    percent / (100 + percent) of both sizes together, and no more than either has in common with
+    all of the other side: this gives the largest partner that a set can have.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    n = int(at.max()) + 1
+
+    def largest(side: np.ndarray, other: np.ndarray) -> np.ndarray:
+        held = np.bincount(at[other[owner]], minlength=n)[at] - other[owner]  # by other sets than the hash's own
+        shared = np.bincount(owner[held > 0], minlength=len(sizes))
+        return np.where(side, (100 + percent) * shared // percent - sizes, -1)
+
+    def met(side: np.ndarray, own: np.ndarray, other: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        who = np.flatnonzero(other)
+        who = who[np.argsort(sizes[who], kind="stable")]
+        best = np.r_[-1, np.maximum.accumulate(theirs[who])]  # of the k smallest sets on the other side
+        return side & (best[np.searchsorted(sizes[who], own, "right")] >= sizes)
+
+    asks, takes = largest(probes, stored), largest(stored, probes)
+    return met(probes, asks, stored, takes), met(stored, takes, probes, asks)
+
+
 def trie_links(sets: list[np.ndarray], probes: list[int], percent: int, group: list[int] | None = None, stored: list[int] | None = None) -> list[tuple[int, int]]:
     """Links of the probes with any stored set (all by default), as a forest: none between sets that are connected already (``group``: equal numbers)."""
     vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    asks, takes = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+    asks[probes] = True
+    takes[range(len(sets)) if stored is None else stored] = True
+    asks, takes = reachable(sizes, at, asks, takes, percent)
+    if not asks.any():
+        return []
     order = np.argsort(-np.bincount(at), kind="stable")  # common hashes first: sets share long paths
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    parts = np.split(rank[at], np.cumsum([len(s) for s in sets])[:-1])
+    ends = np.cumsum(sizes)
+    ranks = {i: np.sort(rank[at[ends[i] - sizes[i] : ends[i]]]) for i in np.flatnonzero(asks | takes).tolist()}
     trie = Trie(np.empty(0, np.int64))
-    ranks = [np.sort(p) for p in parts]
-    for i in range(len(sets)) if stored is None else stored:
+    for i in np.flatnonzero(takes).tolist():
         trie.insert(ranks[i], i)
     parent = list(range(len(sets)))
 
@@ -380,7 +412,7 @@ def trie_links(sets: list[np.ndarray], probes: list[int], percent: int, group: l
     for i, g in enumerate(group or []):
         parent[find(i)] = find(known.setdefault(g, i))
     mark, out = np.zeros(len(vocabulary), bool), []
-    for i in probes:
+    for i in np.flatnonzero(asks).tolist():
         mark[ranks[i]] = True
         for j in trie.walk(ranks[i], mark, percent):
             if find(i) != find(j):

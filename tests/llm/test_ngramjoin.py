@@ -134,6 +134,47 @@ def test_many_visitors_in_slots(spark, monkeypatch):
     check(spark, rows)
 
 
+def near_copies(n, edits, size=400, seed=7):
+    """n sets of one base, each with so many edits that put five hashes of its own in the place of five of the base."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        h = np.arange(size, dtype=np.uint64)
+        for k, e in enumerate(r.sample(range(size // 5), edits)):
+            h[5 * e : 5 * e + 5] = np.arange(5, dtype=np.uint64) + np.uint64(10**6 + 1000 * i + 5 * k)
+        out.append(np.sort(h))
+    return out
+
+
+def test_hopeless_sets_are_not_walked(monkeypatch):
+    """Sets with too many hashes that no other set of their group has are neither stored nor walked."""
+    walked, stored = [], []
+    walk, insert = J.Trie.walk, J.Trie.insert
+    monkeypatch.setattr(J.Trie, "walk", lambda self, ranks, *a: walked.append(len(ranks)) or walk(self, ranks, *a))
+    monkeypatch.setattr(J.Trie, "insert", lambda self, ranks, who: stored.append(who) or insert(self, ranks, who))
+    few, many = near_copies(30, 3), near_copies(40, 14, seed=8)
+    many = [h + np.uint64(10**7) * (h >= 10**6) for h in many]
+    assert J.trie_links(many, list(range(40)), 75) == [] and (walked, stored) == ([], [])
+    assert J.trie_links([*few, *many], list(range(30, 70)), 75, None, list(range(30))) == [] and (walked, stored) == ([], [])
+    assert len(J.trie_links([*few, *many], list(range(70)), 75)) == 29 and (len(walked), sorted(stored)) == (30, list(range(30)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reachable_keeps_all_that_link(seed):
+    r = random.Random(seed)
+    base = [np.unique(np.array([r.randrange(80) for _ in range(r.randint(1, 40))], np.uint64)) for _ in range(10)]
+    sets = base + [np.unique(np.r_[b[: len(b) - r.randint(0, 3)], np.array([r.randrange(10_000)], np.uint64)]) for b in base for _ in range(4)]
+    probes, stored = (np.array([r.random() < 0.6 for _ in sets]) for _ in range(2))
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    asks, takes = J.reachable(np.array([len(s) for s in sets]), at, probes, stored, 75)
+    assert not (asks & ~probes).any() and not (takes & ~stored).any()
+    for i in np.flatnonzero(probes):
+        for j in np.flatnonzero(stored):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                assert asks[i] and takes[j]
+
+
 def test_distinct_pairs():
     r = np.random.default_rng(2)
     token, owner = r.integers(0, 40, 3000).astype("<u4"), r.integers(-9, 9, 3000).astype("<i8")
