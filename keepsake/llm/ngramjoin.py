@@ -483,6 +483,7 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int, words: int) -> D
     need = F.greatest(F.lit(1), F.floor(least * COMMON_PERCENT / 100))
     credits = common.groupBy("cls").agg(F.sum("n").alias("common"))
     alive = scratch.save(classes.join(credits, "cls").where(F.col("common") >= need).select(F.col("low").alias("_low"), "cls"), "alive")
+    scratch.drop(*[f"dealt/kind={k}" for k in (1, 2, 3)])
 
     # the survivors' whole sets, from their texts
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,8 +503,12 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int, words: int) -> D
     blocks = components(edges, scratch, "blocks").withColumnsRenamed({"node": "cls", "root": "block"})
 
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    members = held.join(blocks, "cls").join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    placed = blocks.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    placed = scratch.save(placed, "placed")
+    # places are joined before the hashes are: those are moved once at most, however many they are
+    members = held.join(_maybe_broadcast(placed), "cls")
     members = scratch.save(members.withColumn("size", F.octet_length("hashes").cast("long")), "members")
+    scratch.drop("sets")
 
     def shape(df: DataFrame, size: int, probe: bool, stored: bool, root: Column, slot: Column) -> DataFrame:
         rows = df.select("block", "part", slot.cast("int").alias("slot"), "cls", "hashes", F.lit(probe).alias("probe"), F.lit(stored).alias("stored"), root.alias("root"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -175,6 +176,27 @@ def test_reachable_keeps_all_that_link(seed):
                 assert asks[i] and takes[j]
 
 
+def test_hashes_are_moved_once(spark, monkeypatch):
+    """Whatever Spark broadcasts by itself, sets are not shuffled to learn their block, and what is read no more is deleted."""
+    plans, roots, save = {}, [], J.Scratch.save
+
+    def saved(self, df, name, by=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        roots.append(self.root.removeprefix("file://"))
+        return save(self, df, name, by)
+
+    monkeypatch.setattr(J.Scratch, "save", saved)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, list(enumerate(made(4, 80))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plans["members"] and "BroadcastHashJoin" in plans["members"]
+    left = {str(p.relative_to(r)) for r in map(Path, {*roots}) for p in r.glob("**/") if p != r}
+    assert "dealt/kind=0" in left and not left & {"dealt/kind=1", "dealt/kind=2", "dealt/kind=3", "sets"}
+
+
 def test_distinct_pairs():
     r = np.random.default_rng(2)
     token, owner = r.integers(0, 40, 3000).astype("<u4"), r.integers(-9, 9, 3000).astype("<i8")
