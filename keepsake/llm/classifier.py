@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_prefix, slices, worker_cache
+from .common import Scratch, free_prefix, slices, trim, worker_cache
 from .rules import labelled
 from .textstats import COUNTS, counts
 
@@ -82,20 +82,27 @@ def meta_view(values: list) -> list[int]:
     return [zlib.crc32(f"{i}={v}".encode("utf-8", "replace")) % META_SLOTS for i, v in enumerate([*known, "|".join(known)])]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, l2: float = 1e-3, steps: int = 250) -> np.ndarray:
+def logistic(x: np.ndarray | list[np.ndarray], y: np.ndarray, start: np.ndarray | None = None, l2: float = 1e-3, steps: int = 250) -> np.ndarray:
     """Weights and intercept, by accelerated gradient descent in the precision of ``x``; classes weigh as they are.
 
+    ``x``: the rows, or blocks of them, which are not copied: the driver holds them once.
     From the weights of an earlier round (``start``) a third of the steps is enough.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = v = np.zeros(x.shape[1], x.dtype) if start is None else start.astype(x.dtype)
-    rate = x.dtype.type(1 / (0.25 * float((x**2).sum(1).mean()) + l2))
+    blocks = x if isinstance(x, list) else [x]
+    kind = blocks[0].dtype
+    ends = np.cumsum([0, *[len(b) for b in blocks]])
+    w = v = np.zeros(blocks[0].shape[1] + 1, kind) if start is None else start.astype(kind)
+    rate = kind.type(1 / (0.25 * (sum(float(np.einsum("ij,ij->i", b, b).sum()) for b in blocks) / len(y) + 1) + l2))
     for k in range(steps if start is None else steps // 3):
-        z = np.clip(x @ v, -30, 30)
-        g = x.T @ (1 / (1 + np.exp(-z)) - y).astype(x.dtype) / len(y) + x.dtype.type(l2) * v
-        g[-1] -= x.dtype.type(l2) * v[-1]
+        g = kind.type(l2) * v
+        g[-1] = 0
+        for b, i, j in zip(blocks, ends[:-1], ends[1:]):
+            z = np.clip(b @ v[:-1] + v[-1], -30, 30)
+            d = (1 / (1 + np.exp(-z)) - y[i:j]).astype(kind)
+            g[:-1] += b.T @ d / len(y)
+            g[-1] += d.sum() / len(y)
         new = v - rate * g
-        w, v = new, new + x.dtype.type(k / (k + 3)) * (new - w)
+        w, v = new, new + kind.type(k / (k + 3)) * (new - w)
     return w.astype(np.float64)
 
 
@@ -285,7 +292,7 @@ def cotrain(rows: Rows, pool: Callable[..., pd.DataFrame] | None, meta: list[str
     w: dict[str, np.ndarray] = {}
     least_loss = math.inf
     for r in range(rounds + 1):
-        w = {k: logistic(np.vstack(x), np.concatenate(y), w.get(k)) for k, (x, y) in fitted.items()}
+        w = {k: logistic(x, np.concatenate(y), w.get(k)) for k, (x, y) in fitted.items()}
         calibrated(model, rows, check, w)
         z = model.c_text[0] * _score(rows.x[check], w["text"]) + model.c_text[1] + model.c_meta[0] * _score(rows.m[check], w["meta"]) + model.c_meta[1] - model.prior
         loss = float((np.logaddexp(0, z) - rows.y[check] * z).mean())
@@ -325,7 +332,10 @@ def fit(docs: DataFrame, labels: DataFrame, meta: list[str], text: str = "text",
     # one row for each different one that is labelled
     own = seen.where("label is not null").dropDuplicates().orderBy("hash").limit(2 * LABELLED_ROWS).toPandas()
     pool = seen.where("label is null")
-    return cotrain(Rows.of(own), lambda *a: surest(pool, *a), meta, rounds)
+    model = cotrain(Rows.of(own), lambda *a: surest(pool, *a), meta, rounds)
+    del own
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:

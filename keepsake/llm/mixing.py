@@ -62,11 +62,11 @@ def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
 def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE, strict: bool = True) -> tuple[DataFrame, float]:
     """(cells with ``_weight``, the residual): the shares by each dimension meet the targets up to the residual.
 
-    The weights are the cells' token shares times one factor for each value of
-    each dimension. A step sums the cells by one dimension, pre-aggregated before
-    the shuffle, and sets that dimension's factors; after each round the factors,
-    one row a value, are written, so no plan grows and no window holds the cells of
-    a value. Values are told apart by how they are written as strings.
+    The weights start as the cells' token shares. A step sums them by one
+    dimension, pre-aggregated before the shuffle, and sets the cells to the targets
+    that they carry; it is written before the next one, so each plan has one join
+    whatever the rounds, the driver holds one small table at a time, and no window
+    holds the cells of a value. Values are told apart by how they are written as strings.
     Values without tokens or without a target weigh nothing; the rest of a
     dimension's targets share their part. Targets that no weights meet are a
     RakingError, or with ``strict=False`` are met as far as the last round does.
@@ -74,42 +74,40 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], round
     scratch = Scratch(cells.sparkSession)
     total = cells.agg(F.sum("_tokens")).first()[0] or 1
     at = range(len(dims))
-    named = cells.select("*", *[F.col(d).cast("string").alias(f"_v{i}") for i, d in enumerate(dims)], (F.col("_tokens") / F.lit(total)).alias("_natural"))
-    named = scratch.save(named, "shares")
-    start = []
+    named = cells.select("*", *[F.col(d).cast("string").alias(f"_v{i}") for i, d in enumerate(dims)], (F.col("_tokens") / F.lit(total)).alias("_weight"), F.lit(0.0).alias("_off"))
+    small = []
+
+    def matched(now: DataFrame, table: DataFrame, i: int) -> DataFrame:
+        """The cells with the row of their value (``_of``) in dimension ``i``."""
+        return now.join(F.broadcast(table) if small[i] else table, F.col(f"_v{i}").eqNullSafe(F.col("_of"))).drop("_of")
+
     for i, d in enumerate(dims):
-        given = targets[d].select(F.col(d).cast("string").alias("_of"), F.col("_share").cast("double").alias("_to"))
-        held = named.groupBy(F.col(f"_v{i}").alias("value")).agg(F.lit(1.0).alias("f"))
-        start.append(held.join(given, F.col("value").eqNullSafe(F.col("_of")), "left").select(F.lit(i).alias("dim"), "value", "f", F.coalesce("_to", F.lit(0.0)).alias("to"), F.lit(0.0).alias("off")))
-    factors = scratch.save(reduce(DataFrame.unionByName, start), "factors")
-    sums = {r["dim"]: r for r in factors.groupBy("dim").agg(F.sum("to").alias("to"), F.count(F.lit(1)).alias("n")).collect()}
-    small = {i: i not in sums or sums[i]["n"] <= BROADCAST_ROWS // 10 for i in at}
-    whole = F.lit(1.0)
-    for i in sums:
-        whole = F.when(F.col("dim") == i, F.lit(sums[i]["to"] or 1.0)).otherwise(whole)
-    factors = factors.withColumn("to", F.col("to") / whole)
-
-    def weighed(tables: list[DataFrame]) -> DataFrame:
-        out = named.withColumn("_weight", F.col("_natural"))
-        for i in at:
-            f = tables[i].select(F.col("value").alias("_of"), F.col("f").alias("_f"))
-            out = out.join(F.broadcast(f) if small[i] else f, F.col(f"_v{i}").eqNullSafe(F.col("_of"))).withColumn("_weight", F.col("_weight") * F.col("_f")).drop("_of", "_f")
-        return out
+        given = targets[d].select(F.col(d).cast("string").alias("_given"), F.col("_share").cast("double").alias("_share"))
+        held = named.groupBy(F.col(f"_v{i}").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+        wanted = held.join(given, F.col("_of").eqNullSafe(F.col("_given")), "left").select("_of", F.coalesce("_share", F.lit(0.0)).alias(f"_to{i}"))
+        wanted = scratch.save(wanted, f"wanted{i}")
+        whole, n = wanted.agg(F.sum(f"_to{i}"), F.count(F.lit(1))).first()
+        small.append(n <= BROADCAST_ROWS // 10)
+        named = matched(named, wanted.withColumn(f"_to{i}", F.col(f"_to{i}") / F.lit(whole or 1.0)), i)
+    last = "weights"
+    named = scratch.save(named, last)
 
     residual = math.inf
     for r in range(rounds):
-        tables = [factors.where(F.col("dim") == i) for i in at]
+        named = named.withColumn("_off", F.lit(0.0))
         for i in at:
-            now = weighed(tables).groupBy(F.col(f"_v{i}").alias("_now")).agg(F.sum("_weight").alias("_held"))
-            set_to = F.when(F.col("_held") > 0, F.col("f") * F.col("to") / F.col("_held")).otherwise(F.lit(0.0))
-            tables[i] = tables[i].join(F.broadcast(now) if small[i] else now, F.col("value").eqNullSafe(F.col("_now"))).select("dim", "value", set_to.alias("f"), "to", F.abs(F.col("_held") - F.col("to")).alias("off"))
-        factors = scratch.save(reduce(DataFrame.unionByName, tables), f"factors{r}")
-        residual = factors.agg(F.max("off")).first()[0] or 0.0  # of the shares before the round's own steps
+            held, to = F.sum("_weight"), F.max(f"_to{i}")
+            step = named.groupBy(F.col(f"_v{i}").alias("_of")).agg(F.when(held > 0, to / held).otherwise(F.lit(0.0)).alias("_f"), F.abs(held - to).alias("_away"))
+            now = matched(named, step, i).withColumn("_weight", F.col("_weight") * F.col("_f")).withColumn("_off", F.greatest("_off", "_away")).drop("_f", "_away")
+            named = scratch.save(now, f"weights{r}_{i}")
+            scratch.drop(last)
+            last = f"weights{r}_{i}"
+        residual = named.agg(F.max("_off")).first()[0] or 0.0  # of the shares before the round's own steps
         if residual < close:
             break
     if residual >= close and strict:
         raise RakingError(f"after {rounds} rounds a share is still {residual:.2g} off its target")
-    return weighed([factors.where(F.col("dim") == i) for i in at]).drop("_natural", *[f"_v{i}" for i in at]), residual
+    return named.drop("_off", *[f"{c}{i}" for i in at for c in ("_v", "_to")]), residual
 
 
 def uniform(key: str, seed: int) -> Column:

@@ -31,6 +31,23 @@ def test_rake(spark):
     assert max(abs(got[str(i), str(j), str(k)] - want[i, j, k]) for i in range(4) for j in range(3) for k in range(2)) < 1e-4
 
 
+def test_rounds_have_small_plans(spark, monkeypatch):
+    """What the driver plans and broadcasts at once doesn't grow with the rounds: it has to hold all of it."""
+    rng = np.random.default_rng(2)
+    cells = spark.createDataFrame([(str(i), str(j), str(k), int(rng.integers(1, 1000))) for i in range(4) for j in range(3) for k in range(2)], "a string, b string, c string, _tokens long")
+    tables = {d: spark.createDataFrame([(str(i), 1 / n) for i in range(n)], f"{d} string, _share double") for d, n in zip("abc", (4, 3, 2))}
+    joins, save = [], M.Scratch.save
+
+    def counted(self, df, name, by=None):
+        joins.append(sum(" Join " in line or line.startswith("Join ") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return save(self, df, name, by)
+
+    monkeypatch.setattr(M.Scratch, "save", counted)
+    raked, residual = M.rake(cells, ["a", "b", "c"], tables)
+    assert residual < M.CLOSE and raked.count() == 24
+    assert len(joins) > 6 and max(joins) <= 3
+
+
 def test_targets_that_exclude_each_other(spark):
     """Each value of one dimension goes with one of the other: shares of both cannot be chosen."""
     cells = spark.createDataFrame([("x", "1", 10), ("y", "2", 30)], "a string, b string, _tokens long")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -151,6 +152,21 @@ def test_logistic_and_platt_reach_the_least_loss():
     assert loss(a, b) <= grid + 1e-2
 
 
+def test_logistic_copies_no_rows():
+    """The driver holds the labelled rows once, without copies for the fit."""
+    rng = np.random.default_rng(1)
+    x = rng.random((1500, 1000)).astype(np.float32)
+    y = (x[:, 0] > 0.5).astype(int)
+    tracemalloc.start()
+    try:
+        w = classifier.logistic([x[:900], x[900:]], y, steps=20)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < x.nbytes / 4
+    assert np.allclose(w, classifier.logistic(x, y, steps=20), atol=1e-4)
+
+
 def test_sure_from_keeps_to_the_precision_and_to_whole_ties():
     y = np.array([1] * 40 + [0, 1] * 10)
     score = np.r_[np.full(40, 2.0), np.zeros(20)]
