@@ -206,6 +206,7 @@ def view_rows(rows: DataFrame, n: int, extra: list[str]) -> DataFrame:
             hashes = [xxhash.xxh3_64_intdigest(b"|".join(f)) - 2**63 for f in packed]
             columns = [pa.array(c, pa.binary()) for c in zip(*packed)] if packed else [pa.array([], pa.binary())] * 4
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(hashes, pa.int64()), *columns], schema.names)
+        trim()
 
     return rows.mapInArrow(view, schema)
 
@@ -222,7 +223,7 @@ def surest(pool: DataFrame, w: dict[str, np.ndarray], least: dict[tuple[str, int
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, least, most, known = shared.value
         kept: dict[tuple[str, int], list[tuple[float, int, tuple]]] = {k: [] for k in least}
-        for batch in batches:
+        for batch in slices(batches):
             hashes = batch.column("hash").to_numpy()
             ats, values = batch.column("at").to_pylist(), batch.column("value").to_pylist()
             size = np.array([len(a) // 2 for a in ats], np.int64)
@@ -250,6 +251,7 @@ def surest(pool: DataFrame, w: dict[str, np.ndarray], least: dict[tuple[str, int
             c = list(zip(*rows))
             types = [pa.string(), pa.int32(), pa.float64(), pa.int64(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types)], ["view", "label", "sure", *_FEATURES])
+        trim()
 
     found = pool.mapInArrow(best, f"view string, label int, sure double, {_FEATURE_TYPES}").dropDuplicates(["view", "label", "hash"])
     salt = F.pmod(F.xxhash64("hash"), F.lit(32))
@@ -359,6 +361,7 @@ def score(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str]
             z = np.array([model.log_odds(t, list(v)) for t, v in zip(batch.column(body).to_pylist(), rows)], float).reshape(-1, 3)
             p = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(p[:, i]) for i in range(3)], pa.array(p[:, 2] >= 0.5)], [*keep, *names])
+        trim()
 
     return docs.select(*keep, docs[text].alias(body), *[docs[c].alias(a) for a, c in zip(meta, model.meta)]).mapInArrow(run, schema)
 
