@@ -15,8 +15,11 @@ def scale(vector: Column) -> Column:
 
 
 def codes(vector: Column, by: Column) -> Column:
-    """Rounded half away from zero; at most 127 in magnitude."""
-    return F.transform(vector, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / by).cast("int"))))
+    """Rounded half away from zero; at most 127 in magnitude. A null component has no code.
+
+    ``by`` must not be a column that the same select gives a new value: inside a lambda Spark takes that value.
+    """
+    return F.transform(vector, lambda x: F.when(x.isNotNull(), F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / by).cast("int")))))
 
 
 def dot(a: Column, b: Column) -> Column:
